@@ -29,9 +29,6 @@ PAGES = ("cp1251", "cp1252", "latin-1", "cp866", "koi8-r", "cp437")
 #: Wrong readings of UTF-8 bytes, and (written, read) pairs of single-byte pages.
 UTF8_READ = ("cp1251", "cp1252", "latin-1", "cp866", "koi8-r", "cp437")
 SINGLE = tuple((w, r) for w in ("cp1251", "cp866", "koi8-r", "cp1252") for r in PAGES if w != r and (w, r) not in (("cp1252", "latin-1"), ("cp866", "cp437")))
-UTF8_RUN = re.compile("(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
-# In cp866 all but the first bytes are ordinary Cyrillic letters: there only short sequences and those of punctuation and signs count.
-UTF8_SHORT = re.compile("(?:[\xc2-\xdf][\x80-\xbf]|\xe2[\x80-\x8b][\x80-\xbf])+")
 LOST = "�"
 CLEAN = ""
 STAY, SWITCH = math.log(0.95), math.log(0.05)  # from one word of a damaged record to the next
@@ -53,59 +50,58 @@ _SHIFT = {w + ">" + r: {c: _SIGNS[w][b] for c, b in _BYTES[r].items()} for w, r
 _BLANKS = {z: {c for c, was in shift.items() if was.isspace()} for z, shift in _SHIFT.items()}
 
 
-class _ToBytes(dict):
-    def __init__(self, page: str):
-        super().__init__(_BYTES[page])
+def _runs(page: str, telling: bool = False) -> str:
+    """A pattern of UTF-8 sequences in the signs of a page; telling: whose further bytes are no blanks or Cyrillic letters.
 
-    def __missing__(self, c: int) -> int:
-        self[c] = c if c < 128 else 0x7F
-        return self[c]
-
-
-_TO = {p: _ToBytes(p) for p in UTF8_READ}
-
-
-def _leads() -> re.Pattern:
-    """A sign that is a UTF-8 lead byte in some page, before one that is a continuation byte in it."""
-    sets = [("".join(s[0xC2:0xF5]), "".join(s[0x80:0xC0])) for s in (_SIGNS[p] for p in UTF8_READ)]
-    return re.compile("|".join(f"[{re.escape(a)}][{re.escape(b)}]" for a, b in sets))
+    In cp866 all but the first bytes are ordinary Cyrillic letters: there only two-byte
+    sequences and those of punctuation and signs count.
+    """
+    signs = _SIGNS[page]
+    part = lambda a, b: "[" + re.escape("".join(signs[a:b])) + "]"
+    rest = part(0x80, 0xC0)
+    if telling:
+        rest = "[" + re.escape("".join(c for c in signs[0x80:0xC0] if not c.isspace() and not "\u0400" <= c <= "\u04ff")) + "]"
+    if page == "cp866":
+        return f"{part(0xC2, 0xE0)}{part(0x80, 0xC0)}|{part(0xE2, 0xE3)}{part(0x80, 0x8C)}{part(0x80, 0xC0)}"
+    return f"{part(0xC2, 0xE0)}{rest}|{part(0xE0, 0xF0)}{rest}{{2}}|{part(0xF0, 0xF5)}{rest}{{3}}"
 
 
-LEADS = _leads()
+RUNS = {p: re.compile(f"(?:{_runs(p)})+") for p in UTF8_READ}
+TELLING = re.compile("|".join(_runs(p, True) for p in UTF8_READ))
 
 
-def undo_utf8(word: str, page: str) -> tuple[str, bool] | None:
-    """The word with every UTF-8 sequence that was read in ``page`` read rightly, and whether any of them goes on with
-    a sign other than a Cyrillic letter; None if there is none."""
-    as_bytes = word.translate(_TO[page])
-    out, at, some, sure = [], 0, False, False
-    for m in (UTF8_SHORT if page == "cp866" else UTF8_RUN).finditer(as_bytes):
+def undo_utf8(word: str, page: str) -> str | None:
+    """The word with every UTF-8 sequence that was read in ``page`` read rightly; None if there is none."""
+    out, at, some = [], 0, False
+    signs = _BYTES[page]
+    for m in RUNS[page].finditer(word):
         try:
-            good = m[0].encode("latin-1").decode("utf-8")
+            good = bytes([signs[ord(c)] for c in m[0]]).decode("utf-8")
         except UnicodeDecodeError:
             continue
-        rest = word[m.start() + 1 : m.end()]
-        some = some or not all(c.isspace() for c in rest[::2])
-        sure = sure or not all(c.isspace() or "\u0400" <= c <= "\u04ff" for c in rest)
+        some = some or not all(c.isspace() for c in m[0][1::2])
         out += [word[at : m.start()], good]
         at = m.end()
-    return ("".join(out) + word[at:], sure) if some else None  # a letter and a hard blank alone are no sign of UTF-8
+    return "".join(out) + word[at:] if some else None  # a letter and a hard blank alone are no sign of UTF-8
 
 
-def undone(word: str, depth: int = 3) -> dict[str, str]:
-    """What the word may have been, by chain of wrong readings (the last reading first)."""
+def undone_utf8(word: str, depth: int = 3) -> dict[str, str]:
+    """What the word may have been before UTF-8 was read wrongly, once or several times, by chain (the last reading first)."""
     out: dict[str, str] = {}
-    for page in UTF8_READ if LEADS.search(word) else ():
-        was, _ = undo_utf8(word, page) or (word, False)
-        if was != word:
-            name = f"utf-8>{page}"
-            out[name] = was
+    for page in UTF8_READ:
+        was = undo_utf8(word, page)
+        if was is not None and was != word:
+            out[f"utf-8>{page}"] = was
             if depth > 1 and not was.isascii():
-                for rest, older in undone(was, depth - 1).items():
-                    out[f"{name} {rest}"] = older
+                for rest, older in undone_utf8(was, depth - 1).items():
+                    out[f"utf-8>{page} {rest}"] = older
+    return out
+
+
+def undone_single(word: str) -> dict[str, str]:
+    """What the word may have been before its bytes were read in another single-byte page, by chain."""
+    out: dict[str, str] = {}
     far = {ord(c) for c in word if c > "\x7f"}
-    if depth < 3 and len(far) < 3:
-        return out  # a sign or two that came out of UTF-8 are believed
     letters = {c for c in far if chr(c).isalpha()}
     for name, shift in _SHIFT.items():
         # A word read in a page has letters of that page only; more than its blanks were read wrongly, and no letter was a blank.
@@ -116,6 +112,9 @@ def undone(word: str, depth: int = 3) -> dict[str, str]:
     return out
 
 
+WORDS = re.compile(r"[^ \t\r\n]+")
+
+
 class Speech:
     """A character model: bigrams backed off to single characters and to an even share, times the root of the single
     characters' own shares, lest a rare but orderly alphabet look more proper than the common one it stands for."""
@@ -130,6 +129,8 @@ class Speech:
         total = sum(single.values()) + 1.0
         self.single = {c: max(n, 0.0) / total + other for c, n in single.items()}
         self.back, self.other, self.cost = back, other, _Costs(self)
+        #: What a character of a common text costs, less a good deal: a word above it is proper as it stands.
+        self.common = sum(n * self.cost[ab] for ab, n in pairs.items() if n > 0) / (sum(n for n in pairs.values() if n > 0) or 1.0) - 1.0
 
     def pair(self, ab: str) -> float:
         share = self.single.get(ab[1], self.other)
@@ -150,12 +151,7 @@ class _Costs(dict):
 
 def looks_utf8(word: str) -> bool:
     """Whether the word holds UTF-8 sequences as some page shows them; few proper words do."""
-    return LEADS.search(word) is not None and any((undo_utf8(word, page) or ("", False))[1] for page in UTF8_READ)
-
-
-def utf8_like(word: str) -> list[str]:
-    """What such a word may have been."""
-    return [was for z, was in undone(word).items() if all(step.startswith("utf-8") for step in z.split())] if looks_utf8(word) else []
+    return TELLING.search(word) is not None
 
 
 def pairs_of(word: str) -> list[str]:
@@ -193,7 +189,12 @@ class Judge:
             if len(self.words) > ROOM:
                 self.words.clear()
             own = self.proper(word)
-            past = undone(word)
+            past = undone_utf8(word)
+            if own < self.speech.common * (len(word) + 1):
+                for z, was in [("", word), *past.items()]:
+                    # a sign or two that came out of UTF-8 are believed
+                    if not z or sum(c > "\x7f" for c in was) > 2:
+                        past = past | {f"{z} {y}".strip(): older for y, older in undone_single(was).items()}
             gains = {z: (self.proper(was) - own, was) for z, was in past.items()}
             far = {c for c in word if c > "\x7f"}
             letters = len(far) > 2 or any(c.isalpha() for c in far)
@@ -201,10 +202,7 @@ class Judge:
         return have
 
     def proper(self, word: str) -> float:
-        return self.speech.score(word) + (self.rare if self.odd(word) else 0.0)
-
-    def odd(self, word: str) -> bool:
-        return looks_utf8(word)
+        return self.speech.score(word) + (self.rare if looks_utf8(word) else 0.0)
 
     def prior(self, key: tuple[str, str], chain: str) -> float:
         """Records of this source and field that came by the chain, leaning on all sources."""
@@ -233,6 +231,13 @@ class Judge:
         return was if gain > 0.0 else word
 
 
+    def text(self, chain: str, text: str, words: list[str]) -> str:
+        """The text with its damaged words read rightly: those that gain by it, or all where most others do."""
+        better = sum(self.repaired(chain, w) != w for w in words)
+        shift = _SHIFT.get(chain, {}) if 2 * better > len(words) else {}
+        return WORDS.sub(lambda m: m[0] if m[0].isascii() else m[0].translate(shift) if shift and self.repaired(chain, m[0]) == m[0] else self.repaired(chain, m[0]), text)
+
+
 _JUDGES: dict[str, Judge] = {}
 
 
@@ -244,7 +249,6 @@ def judge_of(made: str, shared) -> Judge:
     return _JUDGES[made]
 
 
-WORDS = re.compile(r"[^ \t\r\n]+")
 
 
 def odd_words(text: str) -> list[str]:
@@ -327,7 +331,7 @@ def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tup
             keep = []
             for s, f, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 words = odd_words(text)
-                keep.append(LOST in text or max(judge.record((s, f), words).values(), default=-99.0) > -6.0 or any(judge.odd(w) for w in words))
+                keep.append(LOST in text or max(judge.record((s, f), words).values(), default=-99.0) > -6.0 or any(looks_utf8(w) for w in words))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     suspects = cut(records.mapInArrow(suspect, RECORDS))
@@ -350,7 +354,7 @@ def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tup
                         chains[s, f, z] += share
                     for w in words:
                         # words that look like UTF-8 are not in the base counts, other words are
-                        left = 1.0 if judge.odd(w) else 0.0
+                        left = 1.0 if looks_utf8(w) else 0.0
                         for z, share in shares.items():
                             was = judge.repaired(z, w)
                             if was != w:
@@ -359,7 +363,7 @@ def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tup
                                     pairs[ab] += share
                         for ab in pairs_of(w) if left else ():
                             pairs[ab] += left
-                        odd += left if judge.odd(w) else 0.0
+                        odd += left if looks_utf8(w) else 0.0
             yield _stats([("pair", ab, "", "", n) for ab, n in pairs.items()] + [("chain", s, f, z, n) for (s, f, z), n in chains.items()] + [("odd", "", "", "", odd)])
 
         sums = _summed(suspects.mapInArrow(expect, STATS), limit)
@@ -406,7 +410,7 @@ def repair(nodes: DataFrame, rounds: int = 3) -> DataFrame:
                 chain, best = max(odds.items(), key=lambda x: x[1], default=(CLEAN, -math.inf))
                 top = max([0.0, *odds.values()])
                 sure = 1.0 - math.exp(-top) / (math.exp(-top) + sum(math.exp(v - top) for v in odds.values()))
-                fixed = WORDS.sub(lambda m, z=chain: m[0] if m[0].isascii() else judge.repaired(z, m[0]), text) if sure > 0.5 else text
+                fixed = judge.text(chain, text, words) if sure > 0.5 else text
                 if fixed != text or LOST in text:
                     out.append((doc, node, f, chain if fixed != text else CLEAN, max(sure, float(LOST in text)), LOST not in fixed, text, fixed))
             cols = list(zip(*out)) if out else [()] * 8

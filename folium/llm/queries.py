@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import leakage, lookalike, mojibake, packing, spans
+from folium.llm import leakage, lookalike, markup, mojibake, packing, spans
 from folium.runtime import cut, table
 
 
@@ -19,6 +19,20 @@ def p1_repair(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair(table(spark, d, "template_node"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.strip_markup(lookalike.text_nodes(table(spark, d, "template_node"))).select("doc_id", "node_id")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.strip_markup(lookalike.text_nodes(table(spark, d, "template_node"))).drop("text")
+
+
+def p2_roles(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each kind of structure the markup held."""
+    clean = markup.strip_markup(lookalike.text_nodes(table(spark, d, "template_node")))
+    return clean.select(F.explode("structure").alias("s")).groupBy(F.col("s.role").alias("role")).agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).cast("bigint").alias("n_chars"))
+
+
 def _disguised(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "template_node")
     changed = lookalike.consistent(lookalike.text_nodes(nodes), table(spark, d, "caption"))
@@ -77,7 +91,7 @@ def p8_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repair, p3_found, p3_consistent, p3_captions, p6_containers, p6_fill, p7_found, p7_passages, p7_items, p8_found, p8_spans, p8_share)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repair, p2_found, p2_clean, p2_roles, p3_found, p3_consistent, p3_captions, p6_containers, p6_fill, p7_found, p7_passages, p7_items, p8_found, p8_spans, p8_share)}
 
 _WORDS = r"list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
 _GRAMS = "SELECT DISTINCT {1}, array_to_string(w[i:i+12], ' ') AS gram FROM (SELECT {1}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {1}, {2} AS w FROM {0}) WHERE len(w) >= 13)"

@@ -170,36 +170,41 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
             owner, start, end = chunks(codes, first, last, min_chars, window)
             digest = Digests(codes, 0)(start, end)
             th = batch.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(th[owner]), pa.array((start - first[owner]).astype(np.int32)), pa.array((end - first[owner]).astype(np.int32))], names=["digest", "th", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(th[owner]), pa.array((start - first[owner]).astype(np.int32))], names=["digest", "th", "a"])
 
-    pieces = hashed.select("doc_id", "text", "th").mapInArrow(cutting, "digest bigint, th bigint, a int, b int")
-    pieces = cut(pieces.distinct())
+    def ranging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A shared span's first chunk begins less than a window after it, and its last so late that
+        # the next would pass its end: its windows start in the range below, runs of chunks taken together.
+        for batch in batches:
+            zones = []
+            for at in batch.column(1).to_pylist():
+                a = np.sort(np.array(at, np.int64))
+                zones.append([{"a": int(run[0]) - window + 1, "z": int(run[-1]) - window + 1} for run in np.split(a, np.flatnonzero(np.diff(a) > window) + 1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(zones, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], names=["th", "zones"])
+
+    pieces = hashed.select("doc_id", "text", "th").mapInArrow(cutting, "digest bigint, th bigint, a int")
     both = pieces.groupBy("digest").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("digest")
-    near = pieces.join(both, "digest")
-    zones = near.select("th", F.greatest(F.col("b") - min_chars, F.lit(0)).alias("a"), (F.col("a") + min_chars).alias("b")).groupBy("th").agg(F.collect_set(F.struct("a", "b")).alias("zones"))
+    near = pieces.join(both, "digest").groupBy("th").agg(F.collect_set("a").alias("at"))
+    zones = cut(near.mapInArrow(ranging, "th bigint, zones array<struct<a: int, z: int>>"))
     reps = classes.join(zones, "th").select("rep", "zones")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lot in _lots(batches, 1):
             codes, first, last = _laid(lot)
-            starts, owner = [], []
+            starts, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for k, zones in enumerate(batch.column(3).to_pylist()):
-                reached = 0
-                for z in sorted((z["a"], z["b"]) for z in zones):
-                    a, b = max(z[0], reached), min(z[1], int(last[k] - first[k])) - min_chars + 1
-                    if b > a:
-                        starts.append(np.arange(first[k] + a, first[k] + b))
-                        owner.append(np.full(b - a, k))
-                        reached = b
-            if starts:
-                s, o = np.concatenate(starts), np.concatenate(owner)
-                th = batch.column(2).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(Digests(codes, 0)(s, s + min_chars)), pa.array(Digests(codes, 1)(s, s + min_chars)), pa.array(th[o]), pa.array((s - first[o]).astype(np.int32))], names=["d0", "d1", "th", "a"])
+                for z in zones:
+                    a, b = max(z["a"], 0), min(z["z"], int(last[k] - first[k]) - min_chars)
+                    if b >= a:
+                        starts.append(np.arange(first[k] + a, first[k] + b + 1))
+                        owner.append(np.full(b - a + 1, k))
+            s, o = np.concatenate(starts), np.concatenate(owner)
+            th = batch.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(Digests(codes, 0)(s, s + min_chars)), pa.array(Digests(codes, 1)(s, s + min_chars)), pa.array(th[o]), pa.array((s - first[o]).astype(np.int32))], names=["d0", "d1", "th", "a"])
 
     spots = hashed.join(reps, hashed["doc_id"] == reps["rep"]).select("doc_id", "text", "th", "zones").mapInArrow(windows, "d0 bigint, d1 bigint, th bigint, a int")
-    spots = cut(spots)
     twice = spots.groupBy("d0", "d1").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("d0", "d1")
-    starts = spots.join(twice, ["d0", "d1"]).select("th", "a").distinct()
+    starts = spots.join(twice, ["d0", "d1"]).select("th", "a")
 
     def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +216,7 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
                     out.append((th, int(run[0]), int(run[-1]) + min_chars))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int32(), pa.int32()))], names=["th", "span_start", "span_end"])
 
-    spans = starts.groupBy("th").agg(F.collect_list("a").alias("at")).mapInArrow(merging, "th bigint, span_start int, span_end int")
+    spans = starts.groupBy("th").agg(F.collect_set("a").alias("at")).mapInArrow(merging, "th bigint, span_start int, span_end int")
     whole = classes.where("rep <> other").select("th", "th2")
     copies = members.join(whole, ["th", "th2"]).select("doc_id", F.lit(0).alias("span_start"), F.col("n_chars").alias("span_end"), "n_chars")
     parts = members.join(whole, ["th", "th2"], "left_anti").join(spans, "th").select("doc_id", "span_start", "span_end", "n_chars")
