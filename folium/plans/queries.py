@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folium.operators import drift, inlining
+from folium.plans import layout_queries as layout
 from folium.runtime import cut, table
 
 
@@ -39,5 +40,5 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(values, drift.changes(values))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_cells, p4_columns, p4_rows, p4_elements, p5_found, p5_unified)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_cells, p4_columns, p4_rows, p4_elements, p5_found, p5_unified)} | layout.QUERIES
+SQL: dict[str, str] = dict(layout.SQL)
