@@ -35,8 +35,9 @@ def color(text: Column) -> Column:
     t = F.trim(text)
     names = F.create_map(*[F.lit(x) for pair in COLORS.items() for x in pair])
     parts = F.split(t, ",")
-    channel = lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.trim(F.get(parts, F.size(parts) - F.lit(3 - i))).try_cast("int")))
-    mixed = F.when(channel(0).isNotNull() & channel(1).isNotNull() & channel(2).isNotNull(), F.format_string("%02X%02X%02X", channel(0), channel(1), channel(2)))
+    read = [F.trim(F.get(parts, F.size(parts) - F.lit(3 - i))).try_cast("int") for i in range(3)]
+    held = [F.greatest(F.lit(0), F.least(F.lit(255), c)) for c in read]
+    mixed = F.when(read[0].isNotNull() & read[1].isNotNull() & read[2].isNotNull(), F.format_string("%02X%02X%02X", *held))
     return (
         F.when(t.rlike("^#[0-9A-Fa-f]{6}$"), F.upper(F.substring(t, 2, 6)))
         .when(t.rlike("^#[0-9A-Fa-f]{8}$"), F.upper(F.substring(t, 4, 6)))

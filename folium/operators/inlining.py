@@ -107,7 +107,11 @@ class Design(NamedTuple):
     lists: frozenset  # (element, field) that only is a list of scalars, a table of its own
 
 
-def design(facts: list[tuple[str, str, str, str]], root: str = ROOT) -> Design:
+#: Elements that other tables refer to: they keep a table of their own even where the data at hand has one of each.
+KEPT = ("Pages", "Bands", "TableObject", "TextObject", "ContainerObject", "Columns", "Rows", "Cells")
+
+
+def design(facts: list[tuple[str, str, str, str]], root: str = ROOT, kept: tuple = KEPT) -> Design:
     """Tables by the rules of shared inlining, from the facts of the schema graph."""
     plain = {(e, n) for kind, e, n, what in facts if kind == "field" and what == "scalar"}
     lists = {(e, n) for kind, e, n, what in facts if kind == "field" and what == "list"} - plain
@@ -132,7 +136,7 @@ def design(facts: list[tuple[str, str, str, str]], root: str = ROOT) -> Design:
     keys: dict[str, set] = {}
     for e, c, key, _ in edges:
         keys.setdefault(c, set()).add((e, key))
-    tables = {root} | {c for _, c, _, repeats in edges if repeats} | {c for c in parents if len(parents[c]) > 1 or len(keys[c]) > 1 or recursive(c)}
+    tables = {root} | {c for _, c, _, _ in edges if c in kept} | {c for _, c, _, repeats in edges if repeats} | {c for c in parents if len(parents[c]) > 1 or len(keys[c]) > 1 or recursive(c)}
     return Design(frozenset(tables), frozenset(plain), frozenset(lists))
 
 
