@@ -14,6 +14,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import add
 from typing import NamedTuple
 
@@ -85,6 +86,7 @@ def undo_utf8(word: str, page: str) -> str | None:
     return "".join(out) + word[at:] if some else None  # a letter and a hard blank alone are no sign of UTF-8
 
 
+@lru_cache(ROOM)
 def undone_utf8(word: str, depth: int = 3) -> dict[str, str]:
     """What the word may have been before UTF-8 was read wrongly, once or several times, by chain (the last reading first)."""
     out: dict[str, str] = {}
@@ -98,12 +100,19 @@ def undone_utf8(word: str, depth: int = 3) -> dict[str, str]:
     return out
 
 
+MIXED = re.compile(r"[A-Za-z][^\W\x00-\x7f]|[^\W\x00-\x7f][A-Za-z]")
+_LATIN = [(z, s) for z, s in _SHIFT.items() if z.startswith("cp1252")]
+_CYRILLIC = [(z, s) for z, s in _SHIFT.items() if not z.startswith("cp1252")]
+
+
+@lru_cache(ROOM)
 def undone_single(word: str) -> dict[str, str]:
     """What the word may have been before its bytes were read in another single-byte page, by chain."""
     out: dict[str, str] = {}
     far = {ord(c) for c in word if c > "\x7f"}
     letters = {c for c in far if chr(c).isalpha()}
-    for name, shift in _SHIFT.items():
+    # Accented letters stand among plain ones, Cyrillic letters among their like.
+    for name, shift in _LATIN if MIXED.search(word) else _CYRILLIC:
         # A word read in a page has letters of that page only; more than its blanks were read wrongly, and no letter was a blank.
         if letters <= shift.keys() and letters.isdisjoint(_BLANKS[name]):
             was = word.translate(shift)
@@ -129,8 +138,8 @@ class Speech:
         total = sum(single.values()) + 1.0
         self.single = {c: max(n, 0.0) / total + other for c, n in single.items()}
         self.back, self.other, self.cost = back, other, _Costs(self)
-        #: What a character of a common text costs, less a good deal: a word above it is proper as it stands.
-        self.common = sum(n * self.cost[ab] for ab, n in pairs.items() if n > 0) / (sum(n for n in pairs.values() if n > 0) or 1.0) - 1.0
+        #: What a character of a common text costs, less a good deal: a word whose every step is above it is proper as it stands.
+        self.common = sum(n * self.cost[ab] for ab, n in pairs.items() if n > 0) / (sum(n for n in pairs.values() if n > 0) or 1.0) - 4.0
 
     def pair(self, ab: str) -> float:
         share = self.single.get(ab[1], self.other)
@@ -139,6 +148,10 @@ class Speech:
     def score(self, word: str) -> float:
         return sum(map(self.cost.__getitem__, map(add, START + word, word + END)))
 
+    def worst(self, word: str) -> float:
+        """The unlikeliest step of the word."""
+        return min(map(self.cost.__getitem__, map(add, START + word, word + END)))
+
 
 class _Costs(dict):
     def __init__(self, speech: Speech):
@@ -190,14 +203,14 @@ class Judge:
                 self.words.clear()
             own = self.proper(word)
             past = undone_utf8(word)
-            if own < self.speech.common * (len(word) + 1):
+            if self.speech.worst(word) < self.speech.common:
                 for z, was in [("", word), *past.items()]:
                     # a sign or two that came out of UTF-8 are believed
                     if not z or sum(c > "\x7f" for c in was) > 2:
                         past = past | {f"{z} {y}".strip(): older for y, older in undone_single(was).items()}
             gains = {z: (self.proper(was) - own, was) for z, was in past.items()}
-            far = {c for c in word if c > "\x7f"}
-            letters = len(far) > 2 or any(c.isalpha() for c in far)
+            far = [c for c in word if c > "\x7f"]
+            letters = len(set(far)) > 2 or sum(c.isalpha() for c in far) > 1 or MIXED.search(word) is not None
             have = self.words[word] = gains, frozenset(z for z, (gain, _) in gains.items() if gain > 0.0 and (letters or z.startswith("utf-8")))
         return have
 
@@ -216,9 +229,11 @@ class Judge:
         Damage comes in runs of words: a forward pass over the words that the chain
         could change, in the states whole and damaged, sums over all such runs.
         """
-        seen = [self.word(w) for w in words]
+        known = self.words.get
+        seen = [known(w) or self.word(w) for w in words]
+        chains = set().union(*[tells for _, tells in seen if tells])
         odds = {}
-        for z in {z for _, tells in seen for z in tells}:
+        for z in chains:
             whole, damaged = math.log(0.5), math.log(0.5)
             for gains, _ in seen:
                 if z in gains:
@@ -251,8 +266,12 @@ def judge_of(made: str, shared) -> Judge:
 
 
 
+ODD_WORDS = re.compile(r"(?<![^ \t\r\n])[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*+[^\x00-\x7f][^ \t\r\n]*")
+
+
 def odd_words(text: str) -> list[str]:
-    return [w for w in WORDS.findall(text) if not w.isascii()]
+    """The words with anything beyond ASCII."""
+    return ODD_WORDS.findall(text)
 
 
 def declared_text(text: str) -> str:
@@ -331,7 +350,7 @@ def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tup
             keep = []
             for s, f, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 words = odd_words(text)
-                keep.append(LOST in text or max(judge.record((s, f), words).values(), default=-99.0) > -6.0 or any(looks_utf8(w) for w in words))
+                keep.append(LOST in text or max(judge.record((s, f), words).values(), default=-99.0) > -6.0 or TELLING.search(text) is not None)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     suspects = cut(records.mapInArrow(suspect, RECORDS))
