@@ -53,6 +53,12 @@ def twins(into: str) -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
+def disguises(word: str) -> str:
+    """A pattern of a word with any of its letters replaced by twins."""
+    rows = (LATIN, CYRILLIC, GREEK)
+    return "".join("[" + "".join(dict.fromkeys(y for row in rows for k, x in enumerate(row) if x == c for y in (r[k] for r in rows) if y != " ")) + "]" for c in word)
+
+
 def two_sided() -> str:
     """Every letter that has a twin somewhere."""
     return "".join(sorted(set(LATIN + CYRILLIC + GREEK) - {" "}))
@@ -64,19 +70,22 @@ def sql(captions: list[str]) -> str:
     froms, tos = wide + SPACES + HYPHENS, plain + " " * len(SPACES) + "-" * len(HYPHENS)
     words = sorted({w for c in captions for w in "".join(x if x.isalpha() else " " for x in unicodedata.normalize("NFC", c)).split() if len(w) > 1 and all(x in two_sided() for x in w)})
     listed = f"[{', '.join(map(quoted, words))}]::VARCHAR[]"
-    step = f"nfc_normalize(translate(regexp_replace(text, '{INVISIBLE}', '', 'g'), {quoted(froms)}, {quoted(tos)}))"
+    seen = f"regexp_replace(text, '{INVISIBLE}', '', 'g')"
+    # translate sets up its whole table for every row: only rows that need it go through
+    step = f"nfc_normalize(CASE WHEN regexp_matches(text, {quoted('[' + froms + ']')}) THEN translate({seen}, {quoted(froms)}, {quoted(tos)}) ELSE {seen} END)"
     mixed = "|".join(rf"\p{{{a}}}\p{{M}}*\p{{{b}}}" for a in SCRIPTS for b in SCRIPTS if a != b)
     alike = f"[{two_sided()}]"
     shown = {s: rf"length(regexp_replace(w, '[^\p{{{s}}}]|{alike}', '', 'g'))" for s in SCRIPTS}
     most = {s: rf"length(regexp_replace(w, '[^\p{{{s}}}]', '', 'g'))" for s in SCRIPTS}
     turn = {s: f"translate(w, {quoted(twins(s)[0])}, {quoted(twins(s)[1])})" for s in SCRIPTS}
     rank = lambda by: " ".join(f"WHEN {' AND '.join(f'{by[s]} > {by[o]}' for o in SCRIPTS if o != s)} THEN {turn[s]}" for s in SCRIPTS)
+    dressed = "|".join(map(disguises, words)) or "[^\\x{00}-\\x{10FFFF}]"
     as_caption = " ".join(f"WHEN list_contains({listed}, {turn[s]}) THEN {turn[s]}" for s in ("Cyrillic", "Latin", "Greek"))
     is_mixed, no_sign = f"regexp_matches(w, '{mixed}')", f"regexp_full_match(w, '{alike}{{2,}}')"
-    word = f"CASE WHEN length(w) < 2 THEN w WHEN {no_sign} THEN CASE WHEN list_contains({listed}, w) THEN w {as_caption} WHEN {is_mixed} THEN CASE {rank(most)} ELSE w END ELSE w END WHEN {is_mixed} THEN CASE {rank(shown)} ELSE w END ELSE w END"
-    suspect = rf"(regexp_matches(plain, '{mixed}') OR regexp_matches(plain, '(^|[^\p{{L}}\p{{M}}]){alike}{{2,}}($|[^\p{{L}}\p{{M}}])'))"
+    word = f"CASE WHEN length(w) < 2 THEN w WHEN {no_sign} THEN CASE WHEN list_contains({listed}, w) THEN w WHEN regexp_full_match(w, '{dressed}') THEN CASE {as_caption} ELSE w END WHEN {is_mixed} THEN CASE {rank(most)} ELSE w END ELSE w END WHEN {is_mixed} THEN CASE {rank(shown)} ELSE w END ELSE w END"
+    suspect = rf"(regexp_matches(plain, '{mixed}') OR regexp_matches(plain, '(^|[^\p{{L}}\p{{M}}])(?:{dressed})($|[^\p{{L}}\p{{M}}])'))"
     parts = r"regexp_extract_all(plain, '[\p{L}\p{M}]+|[^\p{L}\p{M}]+')"
-    return f"SELECT * EXCLUDE (plain), CASE WHEN {suspect} THEN nfc_normalize(array_to_string(list_transform({parts}, lambda w: {word}), '')) ELSE plain END AS clean FROM (SELECT *, {step} AS plain FROM batch)"
+    return f"WITH folded AS MATERIALIZED (SELECT *, {step} AS plain FROM batch) SELECT * EXCLUDE (plain), CASE WHEN {suspect} THEN nfc_normalize(array_to_string(list_transform({parts}, lambda w: {word}), '')) ELSE plain END AS clean FROM folded"
 
 
 def connection() -> duckdb.DuckDBPyConnection:
