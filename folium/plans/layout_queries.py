@@ -7,13 +7,16 @@ pages and names come from the template tables.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.functions import barcode as B
+from folium.functions import rtf
 from folium.functions import values as V
 from folium.operators import flow, grid, islands
 from folium.runtime import table
+from folium.sources import docx, template_xml, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -284,3 +287,48 @@ def style_inherit(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "region").createOrReplaceTempView("folium_region")
     table(spark, d, "nation").createOrReplaceTempView("folium_nation")
     return spark.sql("WITH RECURSIVE t(key, name, level, path) AS (SELECT r_regionkey, r_name, 0, r_name FROM folium_region UNION ALL SELECT n.n_nationkey + 100, n.n_name, t.level + 1, concat(t.path, '/', n.n_name) FROM folium_nation n JOIN t ON t.key = n.n_regionkey AND t.level = 0) SELECT name, level, path FROM t")
+
+
+@query()
+def rtf_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The plain text of every rich text object."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: rtf.rtf_text(t) if rtf.is_rtf(t) else t)
+
+    return nodes(spark, d, "Text").where("tag = 'RichObject' and Text is not null").select("doc_id", "node_id", plain("Text").alias("plain"))
+
+
+@query()
+def md_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return text.markdown_blocks(table(spark, d, "documents").where("source = 'md'"))
+
+
+@query("SELECT doc_id, count(DISTINCT node_id) AS n_nodes, count(DISTINCT CASE WHEN tag = 'TextObject' THEN node_id END) AS n_texts FROM template_node GROUP BY doc_id")
+def template_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Templates written as XML and read again: how many nodes and text objects each has."""
+    n = table(spark, d, "template_node").select("doc_id", "node_id", "parent_id", "ord", "tag", "attrs", "text")
+    made = template_xml.documents(n)
+
+    def again(batches):
+        for pdf in batches:
+            tags = [[r[5] for r in template_xml.rows_of(i, x.encode())] for i, x in zip(pdf["doc_id"], pdf["xml"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_nodes": [len(t) for t in tags], "n_texts": [t.count("TextObject") for t in tags]})
+
+    return made.mapInPandas(again, "doc_id string, n_nodes bigint, n_texts bigint")
+
+
+@query(f"SELECT doc_id::VARCHAR AS doc_id, count(*) AS n_blocks, sum(length(replace(text, chr(13) || chr(10), chr(10)))) AS n_chars FROM {_STACK} GROUP BY doc_id")
+def docx_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as `.docx` files and read again: their paragraphs and characters."""
+    none = F.lit(None)
+    run = F.struct(F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text"), *[F.lit(False).alias(k) for k in ("bold", "italic", "underline", "strike")], none.cast("double").alias("size"), none.cast("string").alias("face"), none.cast("string").alias("color"))
+    blocks = flow.plain_blocks(table(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("doc_id"), "block", F.lit("paragraph").alias("kind"), "align", F.lit(0.0).alias("indent"), F.array(run).alias("runs"), none.cast("array<double>").alias("cols"), none.cast(f"array<{docx.CELL}>").alias("cells"))
+
+    def again(batches):
+        for pdf in batches:
+            read = [[r["text"] for b in docx.blocks_of(c) for r in b["runs"]] for c in pdf["content"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_blocks": [len(x) for x in read], "n_chars": [sum(map(len, x)) for x in read]})
+
+    return docx.documents(blocks).mapInPandas(again, "doc_id string, n_blocks bigint, n_chars bigint")
