@@ -5,7 +5,7 @@ a sliding window. A variable chunk runs from a boundary over as many further
 boundaries as fit, so that every span of ``min_chars`` characters holds at least
 one whole chunk that is cut alike wherever the span stands. Chunks are matched by
 digest; only around chunks whose digest two different texts have, all windows of
-``min_chars`` characters are compared by a 128-bit digest, which decides.
+``min_chars`` characters are compared by a 96-bit digest, which decides.
 """
 
 from __future__ import annotations
@@ -173,13 +173,13 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(th[owner]), pa.array((start - first[owner]).astype(np.int32))], names=["digest", "th", "a"])
 
     def ranging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A shared span's first chunk begins less than a window after it, and its last so late that
-        # the next would pass its end: its windows start in the range below, runs of chunks taken together.
+        # A shared span's first chunk begins less than a window after it, and its last sure chunk so late that the
+        # next might be cut otherwise near the span's end: the span's windows start in the range below.
         for batch in batches:
             zones = []
             for at in batch.column(1).to_pylist():
                 a = np.sort(np.array(at, np.int64))
-                zones.append([{"a": int(run[0]) - window + 1, "z": int(run[-1]) - window + 1} for run in np.split(a, np.flatnonzero(np.diff(a) > window) + 1)])
+                zones.append([{"a": int(run[0]) - window + 1, "z": int(run[-1]) + 1} for run in np.split(a, np.flatnonzero(np.diff(a) > window) + 1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(zones, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], names=["th", "zones"])
 
     pieces = hashed.select("doc_id", "text", "th").mapInArrow(cutting, "digest bigint, th bigint, a int")
@@ -199,27 +199,27 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
                         starts.append(np.arange(first[k] + a, first[k] + b + 1))
                         owner.append(np.full(b - a + 1, k))
             s, o = np.concatenate(starts), np.concatenate(owner)
-            th = batch.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(Digests(codes, 0)(s, s + min_chars)), pa.array(Digests(codes, 1)(s, s + min_chars)), pa.array(th[o]), pa.array((s - first[o]).astype(np.int32))], names=["d0", "d1", "th", "a"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(Digests(codes, 0)(s, s + min_chars)), pa.array(Digests(codes, 1)(s, s + min_chars).astype(np.int32)), pa.array(ids[o]), pa.array((s - first[o]).astype(np.int32))], names=["d0", "d1", "doc_id", "a"])
 
-    spots = hashed.join(reps, hashed["doc_id"] == reps["rep"]).select("doc_id", "text", "th", "zones").mapInArrow(windows, "d0 bigint, d1 bigint, th bigint, a int")
-    twice = spots.groupBy("d0", "d1").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("d0", "d1")
-    starts = spots.join(twice, ["d0", "d1"]).select("th", "a")
+    spots = texts.join(reps, texts["doc_id"] == reps["rep"]).select("doc_id", "text", "rep", "zones").mapInArrow(windows, "d0 bigint, d1 int, doc_id bigint, a int")
+    twice = spots.groupBy("d0", "d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("d0", "d1")
+    starts = spots.join(twice, ["d0", "d1"]).select("doc_id", "a")
 
     def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for th, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 a = np.sort(np.array(at, np.int64))
                 split = np.flatnonzero(np.diff(a) > min_chars) + 1
                 for run in np.split(a, split):
-                    out.append((th, int(run[0]), int(run[-1]) + min_chars))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int32(), pa.int32()))], names=["th", "span_start", "span_end"])
+                    out.append((doc_id, int(run[0]), int(run[-1]) + min_chars))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "span_start", "span_end"])
 
-    spans = starts.groupBy("th").agg(F.collect_set("a").alias("at")).mapInArrow(merging, "th bigint, span_start int, span_end int")
+    spans = starts.groupBy("doc_id").agg(F.collect_set("a").alias("at")).mapInArrow(merging, "doc_id bigint, span_start int, span_end int")
     whole = classes.where("rep <> other").select("th", "th2")
     copies = members.join(whole, ["th", "th2"]).select("doc_id", F.lit(0).alias("span_start"), F.col("n_chars").alias("span_end"), "n_chars")
-    parts = members.join(whole, ["th", "th2"], "left_anti").join(spans, "th").select("doc_id", "span_start", "span_end", "n_chars")
+    parts = members.join(whole, ["th", "th2"], "left_anti").join(spans, "doc_id").select("doc_id", "span_start", "span_end", "n_chars")
     return copies.unionByName(parts)
 
 
