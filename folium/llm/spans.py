@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.runtime import cut
+from folium.runtime import collect_bounded, cut
 
 GEAR_BITS = 32
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BATCH_CHARS = 2_000_000
+FILTER_BITS = 1 << 23
 
 
 def _mix(codes: np.ndarray, salt: int) -> np.ndarray:
@@ -148,6 +149,16 @@ def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(parts), last - [len(p) for p in parts], last
 
 
+def _bitmap(zones: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits (a megabyte, whatever the data), set at the place of every text with a zone."""
+    p = F.col("th").bitwiseAND(F.lit(FILTER_BITS - 1).cast("bigint"))
+    words = zones.select(p.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for w, bits in collect_bounded(words, FILTER_BITS // 64, "the words of the bitmap"):
+        out[w] = bits & (2**64 - 1)
+    return out
+
+
 def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> DataFrame:
     """Maximal spans of each document made of windows of ``min_chars`` code points that also stand in another document.
 
@@ -202,7 +213,16 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(Digests(codes, 0)(s, s + min_chars)), pa.array(Digests(codes, 1)(s, s + min_chars).astype(np.int32)), pa.array(ids[o]), pa.array((s - first[o]).astype(np.int32))], names=["d0", "d1", "doc_id", "a"])
 
-    spots = texts.join(reps, texts["doc_id"] == reps["rep"]).select("doc_id", "text", "rep", "zones").mapInArrow(windows, "d0 bigint, d1 int, doc_id bigint, a int")
+    # Texts that surely have no zone stay where they are: a bitmap of fixed size tells them, as a filter before the join.
+    marks = texts.sparkSession.sparkContext.broadcast(_bitmap(zones))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+            yield batch.filter(pa.array((marks.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)).select([0, 1])
+
+    likely = hashed.select("doc_id", "text", "th").mapInArrow(marked, "doc_id bigint, text string")
+    spots = likely.join(reps, likely["doc_id"] == reps["rep"]).select("doc_id", "text", "rep", "zones").mapInArrow(windows, "d0 bigint, d1 int, doc_id bigint, a int")
     twice = spots.groupBy("d0", "d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("d0", "d1")
     starts = spots.join(twice, ["d0", "d1"]).select("doc_id", "a")
 
