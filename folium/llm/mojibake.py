@@ -138,8 +138,6 @@ class Speech:
         total = sum(single.values()) + 1.0
         self.single = {c: max(n, 0.0) / total + other for c, n in single.items()}
         self.back, self.other, self.cost = back, other, _Costs(self)
-        #: What a character of a common text costs, less a good deal: a word whose every step is above it is proper as it stands.
-        self.common = sum(n * self.cost[ab] for ab, n in pairs.items() if n > 0) / (sum(n for n in pairs.values() if n > 0) or 1.0) - 4.0
 
     def pair(self, ab: str) -> float:
         share = self.single.get(ab[1], self.other)
@@ -148,10 +146,6 @@ class Speech:
     def score(self, word: str) -> float:
         return sum(map(self.cost.__getitem__, map(add, START + word, word + END)))
 
-    def worst(self, word: str) -> float:
-        """The unlikeliest step of the word."""
-        return min(map(self.cost.__getitem__, map(add, START + word, word + END)))
-
 
 class _Costs(dict):
     def __init__(self, speech: Speech):
@@ -203,11 +197,11 @@ class Judge:
                 self.words.clear()
             own = self.proper(word)
             past = undone_utf8(word)
-            if self.speech.worst(word) < self.speech.common:
-                for z, was in [("", word), *past.items()]:
-                    # a sign or two that came out of UTF-8 are believed
-                    if not z or sum(c > "\x7f" for c in was) > 2:
-                        past = past | {f"{z} {y}".strip(): older for y, older in undone_single(was).items()}
+            # Every word: how common a wrong reading is must not make it pass as proper.
+            for z, was in [("", word), *past.items()]:
+                # a sign or two that came out of UTF-8 are believed
+                if not z or sum(c > "\x7f" for c in was) > 2:
+                    past = past | {f"{z} {y}".strip(): older for y, older in undone_single(was).items()}
             gains = {z: (self.proper(was) - own, was) for z, was in past.items()}
             far = [c for c in word if c > "\x7f"]
             letters = len(set(far)) > 2 or sum(c.isalpha() for c in far) > 1 or MIXED.search(word) is not None

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from folium.llm import mojibake as L
 
 WORDS = "накладная договор склад отметка приёмка подпись масса количество дата номер строка бланк проверка сверка остаток печать лист карта".split()
@@ -31,6 +33,16 @@ def test_repair(spark):
     assert got[lost].recovered is False
 
 
+@pytest.mark.parametrize("chain", [("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "latin-1")])
+def test_a_third_garbled_by_one_chain(spark, chain):
+    rng = random.Random(7)
+    good = [text(rng) for _ in range(300)]
+    page = L._SIGNS[chain[1]]
+    rows = [("TextObject", "".join(page[b] for b in t.encode(chain[0])) if k % 3 == 0 else t) for k, t in enumerate(good)]
+    got = {r.node_id: r.repaired for r in L.repair(frame(spark, rows)).collect()}
+    assert got == {k: t for k, t in enumerate(good) if k % 3 == 0}
+
+
 def test_empty(spark):
     assert L.repair(frame(spark, [])).count() == 0 and L.repair(frame(spark, [("TextObject", "ascii")])).count() == 0
 
