@@ -33,6 +33,7 @@ SINGLE = tuple((w, r) for w in ("cp1251", "cp866", "koi8-r", "cp1252") for r in
 LOST = "�"
 CLEAN = ""
 STAY, SWITCH = math.log(0.95), math.log(0.05)  # from one word of a damaged record to the next
+CAPITALS = math.log(0.05)  # words all in capitals: too few in most texts for bigrams of their own
 START, END = "\x02", "\x03"
 ROOM = 200_000
 
@@ -196,6 +197,8 @@ class Judge:
             if len(self.words) > ROOM:
                 self.words.clear()
             own = self.proper(word)
+            if word.isupper():  # capitals alone are no sign of damage: as proper as the word in small letters, but for their share
+                own = either(own, CAPITALS + self.proper(word.lower()))
             past = undone_utf8(word)
             # Every word: how common a wrong reading is must not make it pass as proper.
             for z, was in [("", word), *past.items()]:
@@ -212,13 +215,19 @@ class Judge:
         return self.speech.score(word) + (self.rare if looks_utf8(word) else 0.0)
 
     def prior(self, key: tuple[str, str], chain: str) -> float:
-        """Records of this source and field that came by the chain, leaning on all sources."""
+        """Records of this source and field that came by the chain, leaning on all sources; before any were judged, the same for all sizes of source."""
         overall = (self.p.overall.get(chain, 0.0) + self.floor) / self.total
+        if not self.p.chains:
+            return math.log(overall)
         own = self.p.chains.get(key, {}).get(chain, 0.0)
         return math.log((own + 20.0 * overall) / (self.p.records.get(key, 0.0) + 20.0))
 
     def record(self, key: tuple[str, str], words: list[str]) -> dict[str, float]:
-        """Log posterior odds, against no damage, of each chain that makes any word more proper.
+        """Log posterior odds, against no damage, of each chain that makes any word more proper."""
+        return {z: self.prior(key, z) + gain for z, gain in self.evidence(words).items()}
+
+    def evidence(self, words: list[str]) -> dict[str, float]:
+        """The gain in log likelihood by each chain that makes any word more proper, whatever its prior.
 
         Damage comes in runs of words: a forward pass over the words that the chain
         could change, in the states whole and damaged, sums over all such runs.
@@ -226,14 +235,14 @@ class Judge:
         known = self.words.get
         seen = [known(w) or self.word(w) for w in words]
         chains = set().union(*[tells for _, tells in seen if tells])
-        odds = {}
+        out = {}
         for z in chains:
             whole, damaged = math.log(0.5), math.log(0.5)
             for gains, _ in seen:
                 if z in gains:
                     whole, damaged = either(whole + STAY, damaged + SWITCH), either(damaged + STAY, whole + SWITCH) + gains[z][0]
-            odds[z] = self.prior(key, z) + either(whole, damaged)
-        return odds
+            out[z] = either(whole, damaged)
+        return out
 
     def repaired(self, chain: str, word: str) -> str:
         gain, was = self.word(word)[0].get(chain, (0.0, word))
@@ -300,7 +309,9 @@ STATS = "kind string, a string, b string, c string, n double"
 
 
 def _summed(stats: DataFrame, limit: int) -> list:
-    return collect_bounded(stats.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")), limit, "the encoding statistics")
+    # A chain's sum in a source, not a record's share, may be too small to matter beside what the prior leans on.
+    sums = stats.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).where("kind <> 'chain' or n > 1e-4")
+    return collect_bounded(sums, limit, "the encoding statistics")
 
 
 def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tuple[DataFrame, Params]:
@@ -342,9 +353,9 @@ def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tup
         judge = judge_of(f"{run}-0", start)
         for batch in batches:
             keep = []
-            for s, f, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                words = odd_words(text)
-                keep.append(LOST in text or max(judge.record((s, f), words).values(), default=-99.0) > -6.0 or TELLING.search(text) is not None)
+            for text in batch.column(4).to_pylist():
+                # by likelihood alone: how likely a chain is in a source is for the rounds to tell
+                keep.append(LOST in text or any(tells for _, tells in map(judge.word, odd_words(text))) or TELLING.search(text) is not None)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     suspects = cut(records.mapInArrow(suspect, RECORDS))
@@ -362,9 +373,9 @@ def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tup
                     odds = judge.record((s, f), words)
                     top = max([0.0, *odds.values()])
                     whole = math.exp(-top) + sum(math.exp(v - top) for v in odds.values())
+                    for z, v in odds.items():
+                        chains[s, f, z] += math.exp(v - top) / whole
                     shares = {z: math.exp(v - top) / whole for z, v in odds.items() if math.exp(v - top) / whole > 1e-4}
-                    for z, share in shares.items():
-                        chains[s, f, z] += share
                     for w in words:
                         # words that look like UTF-8 are not in the base counts, other words are
                         left = 1.0 if looks_utf8(w) else 0.0

@@ -43,6 +43,24 @@ def test_a_third_garbled_by_one_chain(spark, chain):
     assert got == {k: t for k, t in enumerate(good) if k % 3 == 0}
 
 
+def test_short_texts_in_a_large_source(spark):
+    rng = random.Random(3)
+    page = L._SIGNS["cp1251"]
+    short = {w: "".join(page[b] for b in w.encode("koi8-r")) for w in ("дата", "лист", "номер", "тара", "кол")}
+    rows = [(f"D{k}", k, "TextObject", {"Text": text(rng)}, "F") for k in range(8000)] + [(f"D{k}", k, "TextObject", {"Text": t}, "F") for k, t in enumerate([*short.values()] * 8, 8000)]
+    nodes = spark.createDataFrame(rows, "doc_id string, node_id int, tag string, attrs map<string,string>, form_code string")
+    suspects, _ = L.estimate(L.declared(nodes))
+    assert {r.text for r in suspects.collect()} >= set(short.values())
+    got = L.repair(nodes).collect()
+    assert sorted(r.node_id for r in got) == [*range(8000, 8040)] and {(r.repaired, r.text) for r in got} == set(short.items())
+
+
+def test_capitals_stay(spark):
+    rng = random.Random(4)
+    rows = [("TextObject", text(rng)) for _ in range(300)] + [("TextObject", w) for w in ("НОМЕР", "СКЛАД № 5", "ДАТА") * 10]
+    assert L.repair(frame(spark, rows)).count() == 0
+
+
 def test_empty(spark):
     assert L.repair(frame(spark, [])).count() == 0 and L.repair(frame(spark, [("TextObject", "ascii")])).count() == 0
 
