@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folium.runtime import collect_bounded
 
-WORD = regex.compile(r"[^\W_]+")
+WORD = regex.compile(r"[\p{L}\p{N}]+")  # as in the SQL: marks and joiners are no words
 SCHEMA = "doc_id bigint, item_id bigint, item_word int, n_words int, char_start int, char_end int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_word", pa.int32()), ("n_words", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32())])
 _BUILT: dict = {}

@@ -22,6 +22,14 @@ def test_found(spark):
     assert {k for k, _ in got} == {2, 3, 5, 6, 7, 8}
 
 
+def test_marks_and_joiners_are_no_words(spark):
+    words = ITEM.split()
+    assert L.words_of("a \u200d b \ufe0f c \u0301 d ³ ½") == ["a", "b", "c", "d", "³", "½"]
+    docs = [f" {sign} ".join(words[:13]) for sign in ("\u200d", "☎\ufe0f", "\u0301", "—")] + [" ³ ".join(words[:13])]
+    items = spark.createDataFrame([(1, ITEM)], "item_id int, item_text string")
+    assert {r.doc_id for r in L.leaked(frame(spark, docs), items).collect()} == {0, 1, 2, 3}
+
+
 def test_offsets_and_empty(spark):
     text = "vor «" + ITEM + "» nach"
     items = spark.createDataFrame([(1, ITEM)], "item_id int, item_text string")
