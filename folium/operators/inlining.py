@@ -103,7 +103,7 @@ def graph_of(record: dict, root: str, into: set) -> None:
 
 class Design(NamedTuple):
     tables: frozenset  # elements with a table of their own
-    plain: frozenset  # (element, field) that is a scalar somewhere, kept as one column
+    plain: frozenset  # (element, field) that is a scalar somewhere and never leads to a kept element, kept as one column
     lists: frozenset  # (element, field) that only is a list of scalars, a table of its own
 
 
@@ -113,7 +113,25 @@ KEPT = ("Pages", "Bands", "TableObject", "TextObject", "ContainerObject", "Colum
 
 def design(facts: list[tuple[str, str, str, str]], root: str = ROOT, kept: tuple = KEPT) -> Design:
     """Tables by the rules of shared inlining, from the facts of the schema graph."""
-    plain = {(e, n) for kind, e, n, what in facts if kind == "field" and what == "scalar"}
+    under: dict[str, set] = {}
+    for kind, e, c, _ in facts:
+        if kind != "field":
+            under.setdefault(e, set()).add(c)
+
+    def holds_kept(element: str) -> bool:
+        seen, todo = set(), [element]
+        while todo:
+            x = todo.pop()
+            if x in kept:
+                return True
+            if x not in seen:
+                seen.add(x)
+                todo += under.get(x, ())
+        return False
+
+    # A stray scalar where kept elements stand elsewhere is a field of its row and doesn't make them text.
+    held = {(e, key) for kind, e, c, key in facts if kind != "field" and holds_kept(c)}
+    plain = {(e, n) for kind, e, n, what in facts if kind == "field" and what == "scalar"} - held
     lists = {(e, n) for kind, e, n, what in facts if kind == "field" and what == "list"} - plain
     edges = [(e, c, key, kind == "edge*") for kind, e, c, key in facts if kind != "field" and (e, key) not in plain]
     parents: dict[str, set] = {}

@@ -38,6 +38,16 @@ def test_found_over_shapes(spark):
     assert got == {(r, *x) for r in (1, 2) for x in one}
 
 
+def test_stray_scalars_do_not_hide_tables(spark):
+    good = report(table("T", [{"Name": "c1", "Text": {"Lines": ["a"]}}]))
+    good["Report"]["Pages"][0]["Bands"] = {"Name": "B1", "Body": {"Objects": good["Report"]["Pages"][0]["Bands"]["Objects"]}}
+    stray = [report({"Type": "TableObject", "Name": "U", "Rows": ""}), report({"Type": "TableObject", "Name": "V", "Rows": [{"Cells": 0}]}), report(table("W", [{"Name": "c", "Text": "t", "Objects": "-"}])), {"Report": {"Pages": "none"}}, {"Report": {"Pages": [{"Bands": {"Name": "B", "Body": 7, "Objects": "x"}}]}}]
+    rows = [(k, 1, json.dumps(p)) for k, p in enumerate([good, *stray])]
+    assert {tuple(r) for r in L.found(frame(spark, rows)).collect()} == {(0, "T", 1, 1, "B1"), (3, "W", 1, 1, "B1")}
+    flat = L.flatten(frame(spark, rows)).collect()
+    assert {r.rec_id: r.fields["Rows"] for r in flat if "Rows" in r.fields} == {1: ""} and [r.fields["Cells"] for r in flat if "Cells" in r.fields] == ["0"]
+
+
 def test_types_and_links(spark):
     df = L.cut(L.flatten(frame(spark, [(1, 1, json.dumps(report(table("T", [{"Name": "c", "ColSpan": "x", "RowSpan": 2, "Text": None}], Columns=[{"Name": "a", "Width": "7.5"}, {"Name": "b", "Width": None}]))))])))
     cell = L.cells(df).collect()[0]
