@@ -63,7 +63,7 @@ MATH = re.compile(r"(\$\$)(.+?)(\$\$)|(?<![\\$\w])(\$)(?=[^\s$])([^$\r\n]+?)(?<=
 BREAK = re.compile(r"\\\\(?=[ \t\r\n]|$)")
 ESCAPE = re.compile(r"\\[%&$#_{}*\[\]`]")
 #: Whatever has none of these has no candidate.
-TRIGGER = re.compile(r"[<&*_`~\\$'{}]|\]\(|\[\[|\]\[|(?:^|[\r\n])[ \t]*(?:[-+>|=#*]|\d{1,3}[.)][ \t])|\[(?:https?|ftp|mailto|doc):")
+TRIGGER = re.compile(r"[<&*_`~\\$'{}]|\]\(|\[\[|\]\[|(?:^|[\r\n])[ \t]*(?:[-+>|=#*:]|\d{1,3}[.)][ \t])|\[(?:https?|ftp|mailto|doc):")
 
 
 class Node:

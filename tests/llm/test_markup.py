@@ -24,6 +24,20 @@ def test_cases(spark, boosted):
     assert run(spark, boosted, []) == {}
 
 
+SHAPES = ["<b>", "<!-- x -->", "&amp;", "# H", "== H ==", "a\n---", "a\n===", "- x", "+ x", "* x", "1. x", "> x", "a | b\n---|---\n1 | 2", "a | b\n:---|---:\n1 | 2", "a | b\n  :--|:-:\n1 | 2", "***", "___", "```\nx\n```", "~~~\nx\n~~~", "`x`", "**x**", "_x_", "~~x~~", "[t](u)", "![t](u)", "[t][u]", "[[x]]", "[https://u x]", "[doc://u x]", "{{x}}", "{|\nx\n|}", "''x''", "\\begin{a}x\\end{a}", "\\emph{x}", "\\par", "$x$", "$$x$$", "\\[x\\]", "\\(x\\)", "a\\\\ b", "\\%"]
+
+
+@pytest.mark.parametrize("text", SHAPES)
+def test_trigger_covers_every_pattern(text, monkeypatch):
+    nodes = [(n.kind, n.a, n.b) for n in L.tree(text)]
+    monkeypatch.setattr(L, "TRIGGER", L.re.compile(""))
+    assert nodes == [(n.kind, n.a, n.b) for n in L.tree(text)] != []
+
+
+def test_table_without_outer_pipes(spark, boosted):
+    assert set(run(spark, boosted, ["Name | Qty\n:---|---:\nA | 5"])) == {0}
+
+
 def test_structure(spark, boosted):
     r = run(spark, boosted, ["<h3>Titel</h3><ul><li>eins</li><li>zwei</li></ul><pre><code>if n &lt; 9</code></pre>", "# Kopf\n\n- a\n- b\n\n$\\frac{1}{2}$"])
     assert [x for x in r[0].clean.split("\n") if x] == ["Titel", "• eins", "• zwei", "if n < 9"]
