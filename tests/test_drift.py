@@ -33,6 +33,62 @@ def test_unified_and_empty(spark):
     assert L.found(frame(spark, [])).count() == 0
 
 
+def test_a_name_that_begins_anew(spark):
+    # A becomes B, then a new A comes beside it, later B goes and A lives on.
+    objs = [{"A": 1}, {"B": 1}, {"B": 1, "A": 2}, {"B": 1, "C": 2}, {"C": 2, "A": 3}, {"C": 2, "A": 3, "B": 5}]
+    v = frame(spark, [("F", k, {"Name": "1", **o}) for k, o in enumerate(objs)])
+    rows = L.unified(L.rows_of(v), L.changes(L.values_of(v))).collect()
+    got = {r.file_no: r.fields for r in rows}
+    assert got == {0: {"A": "1"}, 1: {"A": "1"}, 2: {"A": "1", "A@2": "2"}, 3: {"A": "1", "A@2": "2"}, 4: {"A@2": "2", "A": "3"}, 5: {"A@2": "2", "A": "3", "B": "5"}}
+    assert L.spells_of([(1, "renamed", "B", "A"), (2, "added", "A", ""), (3, "removed", "B", "")]) == [("B", 1, 3, "A"), ("A", 2, 2**31 - 1, "A@2")]
+
+
+def test_differing_copies_keep_their_types(spark):
+    rows = [("F", 1, {"Name": "1", "A": 1}), ("F", 1, {"Name": "1", "A": "s"}), ("F", 2, {"Name": "1", "A": "s"}), ("F", 2, {"A": "no name"}), ("F", 2, {"A": None}), ("F", 3, {"Name": "1", "A": 1}), ("F", 3, {"Name": "1", "A": "s", "New": [{"x": None}]})]
+    v = frame(spark, rows)
+    assert {tuple(r) for r in L.found(v).collect()} == {("F", 2, "retyped", "A", ""), ("F", 3, "retyped", "A", ""), ("F", 3, "added", "New", "")}
+    got = {r.file_no: r.fields for r in L.unified(L.rows_of(v), L.changes(L.values_of(v))).collect()}
+    assert got == {1: {"A": "s"}, 2: {"A": "s"}, 3: {"A": "s", "New": '[{"x":null}]'}}
+
+
+def test_same_as_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    pool, feeds = ["f1", "f2", "f3", "f4", "f5"], {}
+    for feed in "PQR":
+        fields = {f: [rng.choice([None, 1, "x", True]) for _ in range(3)] for f in pool[:3]}
+        for no in range(0, 24, 3):
+            for f in list(fields):
+                if rng.random() < 0.3:
+                    free = [x for x in pool if x not in fields]
+                    v = fields.pop(f)
+                    if rng.random() < 0.6 and free:
+                        fields[rng.choice(free)] = v
+            if rng.random() < 0.5 and len(fields) < 4:
+                fields[rng.choice([x for x in pool if x not in fields])] = [rng.choice(["new", 7, None]) for _ in range(3)]
+            feeds[feed, no] = [{"Name": str(k), "Text": rng.random(), **{f: v[k] for f, v in fields.items() if v[k] is not None or rng.random() < 0.5}} for k in range(3) if k < 2 or rng.random() < 0.5]
+    rows = [(f, no, o) for (f, no), objs in feeds.items() for o in objs]
+    got = {tuple(r) for r in L.found(frame(spark, rows + rows[::4])).collect()}
+    last = {}
+    for (feed, no), objs in sorted(feeds.items()):
+        now, was = {o["Name"]: o for o in objs}, last.get(feed)
+        last[feed] = now
+        if was is None:
+            continue
+        have = lambda side: {f for o in side.values() for f in o} - {"Name", "Text"}
+        kinds = lambda side, f: {type(o[f]) for o in side.values() if o.get(f) is not None}
+        said = {(k, f, o) for a, n, k, f, o in got if (a, n) == (feed, no)}
+        gone, new, shared = have(was) - have(now), have(now) - have(was), now.keys() & was.keys()
+        fits = {(o, n) for o in gone for n in new if all(str(was[k].get(o)) == str(now[k].get(n)) for k in shared) and any(was[k].get(o) is not None for k in shared)}
+        renamed = {(o, n) for k, n, o in said if k == "renamed"}
+        assert renamed <= fits and len({o for o, _ in renamed}) == len({n for _, n in renamed}) == len(renamed)
+        assert all(o in {x for x, _ in renamed} or n in {y for _, y in renamed} for o, n in fits)  # none is left over
+        want = {("removed", f, "") for f in gone - {o for o, _ in renamed}} | {("added", f, "") for f in new - {n for _, n in renamed}}
+        want |= {("retyped", n, "") for o, n in [(f, f) for f in have(was) & have(now)] + sorted(renamed) if kinds(was, o) and kinds(now, n) and kinds(was, o) != kinds(now, n)}
+        assert said - {("renamed", n, o) for o, n in renamed} == want
+
+
 @given(st.integers(1, 4).flatmap(lambda n: st.lists(st.lists(st.integers(0, 20), min_size=n + 1, max_size=n + 1), min_size=n, max_size=n)))
 def test_assign(weights):
     import itertools
