@@ -4,71 +4,79 @@ The schema graph of all records is gathered first (elements, edges, whether an
 edge repeats). Elements that repeat, are shared by several parents or lie on a
 cycle, and the root, become tables; every other element is inlined into the table
 of its only parent. Records are then shredded into rows that carry the key of
-their parent row.
+their parent row; typed tables pick columns of a row and of the rows it lies in.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.runtime import collect_bounded, cut
+from folium.functions.jsontext import json_text, read_json, scalar_text
+from folium.runtime import collect_bounded
 
-ROOT = "Report"
 ROWS = "rec_id bigint, element string, row_id int, parent_element string, parent_id int, list_no int, fields map<string,string>"
 ARROW = pa.schema([("rec_id", pa.int64()), ("element", pa.string()), ("row_id", pa.int32()), ("parent_element", pa.string()), ("parent_id", pa.int32()), ("list_no", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))])
 LEAF = "#"  # the column that holds the value of a repeated scalar
 
 
-def unwrap(value, root: str = ROOT, depth: int = 6):
-    """The object under ``root`` wherever a wrapping keeps it: an object, a list or JSON text inside a string; None if there is none."""
-    if depth < 0:
-        return None
-    if isinstance(value, dict) and isinstance(value.get(root), (dict, list)):
-        found = value[root]
-        return found if isinstance(found, dict) else next((x for x in found if isinstance(x, dict)), None)
-    if isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
-        try:
-            return unwrap(json.loads(value), root, depth - 1)
-        except (ValueError, RecursionError):
-            return None
-    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-    return next((x for x in (unwrap(v, root, depth - 1) for v in inner if isinstance(v, (dict, list, str))) if x is not None), None)
+def roots_of(value, root: str) -> list[dict]:
+    """All objects under ``root`` in the order of the text, wherever a wrapping keeps them: objects, lists, lists of lists or JSON text inside strings, to any depth."""
+    out: list[dict] = []
+    todo: list[tuple] = [(value, False)]  # whether the value stands under root
+    while todo:
+        v, own = todo.pop()
+        if isinstance(v, str):
+            if v.lstrip()[:1] in ("{", "[", '"'):
+                try:
+                    todo.append((read_json(v), own))
+                except ValueError:
+                    pass
+        elif isinstance(v, list):
+            todo += [(x, own) for x in reversed(v)]
+        elif isinstance(v, dict):
+            if root in v:
+                todo.append((v[root], True))
+            elif own:
+                out.append(v)
+            else:
+                todo += [(x, False) for x in reversed(list(v.values()))]
+    return out
 
 
-def read_record(payload: str, root: str = ROOT):
-    """The record of one payload, or None where it can't be read."""
+def read_record(payload: str, root: str) -> list[dict]:
+    """The root objects of one payload; none where it can't be read."""
     try:
-        value = json.loads(payload, parse_int=_Number, parse_float=_Number)
-    except (ValueError, RecursionError):
-        return None
-    return unwrap(value, root)
-
+        return roots_of(read_json(payload), root)
+    except ValueError:
+        return []
 
-class _Number(str):
-    """A number kept as it is written."""
 
-
-def scalar_text(value) -> str | None:
-    if value is None:
-        return None
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    return str(value)
+def items(values: list) -> list:
+    """The entries of a list, those of lists within it in their place."""
+    if not any(isinstance(x, list) for x in values):
+        return values
+    out, todo = [], [values]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += reversed(x)
+        else:
+            out.append(x)
+    return out
 
 
 def flat_text(value) -> str | None:
     """One text for a field that is plain elsewhere: lists of scalars by lines, an object with one member by that member, other values as JSON."""
-    if isinstance(value, dict) and len(value) == 1:
-        return flat_text(next(iter(value.values())))
+    while isinstance(value, dict) and len(value) == 1:
+        value = next(iter(value.values()))
     if isinstance(value, list) and not any(isinstance(x, (dict, list)) for x in value):
         return "\n".join(scalar_text(x) or "" for x in value)
-    return json.dumps(value, ensure_ascii=False) if isinstance(value, (dict, list)) else scalar_text(value)
+    return json_text(value)
 
 
 def element_of(key: str, value: dict) -> str:
@@ -90,7 +98,7 @@ def graph_of(record: dict, root: str, into: set) -> None:
             elif isinstance(v, list):
                 if not v:
                     into.add(("field", element, key, "empty"))
-                for x in v:
+                for x in items(v):
                     if isinstance(x, dict):
                         child = element_of(key, x)
                         into.add(("edge*", element, child, key))
@@ -107,12 +115,8 @@ class Design(NamedTuple):
     lists: frozenset  # (element, field) that only is a list of scalars, a table of its own
 
 
-#: Elements that other tables refer to: they keep a table of their own even where the data at hand has one of each.
-KEPT = ("Pages", "Bands", "TableObject", "TextObject", "ContainerObject", "Columns", "Rows", "Cells")
-
-
-def design(facts: list[tuple[str, str, str, str]], root: str = ROOT, kept: tuple = KEPT) -> Design:
-    """Tables by the rules of shared inlining, from the facts of the schema graph."""
+def design(facts: list[tuple[str, str, str, str]], root: str, kept: tuple = ()) -> Design:
+    """Tables by the rules of shared inlining, from the facts of the schema graph; ``kept`` elements always have a table of their own, as others refer to it."""
     under: dict[str, set] = {}
     for kind, e, c, _ in facts:
         if kind != "field":
@@ -158,11 +162,11 @@ def design(facts: list[tuple[str, str, str, str]], root: str = ROOT, kept: tuple
     return Design(frozenset(tables), frozenset(plain), frozenset(lists))
 
 
-def shred(rec_id: int, record: dict, plan: Design, root: str = ROOT) -> list[tuple]:
-    """Rows of one record in the order of ROWS; row_id counts in document order of each record."""
+def shred(rec_id: int, records: list[dict], plan: Design, root: str) -> list[tuple]:
+    """Rows of one record's root objects in the order of ROWS; row_id counts from 1 in document order of each record."""
     rows, count = [], 0
     # an entry: element, object, parent element, parent row, place in its list
-    todo: list[tuple] = [(root, record, None, None, 1)]
+    todo: list[tuple] = [(root, r, None, None, i) for i, r in reversed(list(enumerate(records, 1)))]
     while todo:
         element, value, parent, parent_id, no = todo.pop()
         count += 1
@@ -180,7 +184,7 @@ def shred(rec_id: int, record: dict, plan: Design, root: str = ROOT) -> list[tup
                     else:
                         inside.append((child, f"{prefix}{key}.", x))
                 elif isinstance(x, list):
-                    for i, y in enumerate(x, 1):
+                    for i, y in enumerate(items(x), 1):
                         if isinstance(y, dict):
                             later.append((element_of(key, y), y, element, own, i))
                         else:
@@ -198,38 +202,44 @@ def _emit(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW)], schema=ARROW)
 
 
-def readable(payloads: DataFrame, root: str = ROOT) -> DataFrame:
+def readable(payloads: DataFrame, root: str) -> DataFrame:
     """One readable payload of each record (of its copies the one received last, then the greatest text): rec_id, payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([read_record(p, root) is not None for p in batch.column("payload").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([bool(read_record(p, root)) for p in batch.column("payload").to_pylist()], pa.bool_()))
 
     plain = payloads.select(F.col("rec_id").cast("bigint").alias("rec_id"), F.col("received_at").cast("timestamp").alias("received_at"), "payload").dropna(subset=["rec_id", "payload"])
     return plain.mapInArrow(run, "rec_id bigint, received_at timestamp, payload string").groupBy("rec_id").agg(F.max(F.struct("received_at", "payload"))["payload"].alias("payload"))
 
 
-def flatten(payloads: DataFrame, root: str = ROOT, max_facts: int = 100_000) -> DataFrame:
-    """All rows of all tables: rec_id, element (the table), row_id, parent_element, parent_id, list_no (place in its list, from 1), fields.
-
-    payloads: rec_id, received_at, payload (JSON text, perhaps wrapped). Parent
-    links hold within rec_id. A value that is an object in one record and a list
-    of objects in another counts as a list of one. Null and unreadable payloads
-    give no rows; of several copies of a record one is used; null fields stay as
-    null; unknown fields are kept; an empty input gives no rows. The schema graph
-    (not the records) comes to the driver, ``max_facts`` entries at most.
-    """
-    one = cut(readable(payloads, root))
+def planned(payloads: DataFrame, root: str, kept: tuple = (), max_facts: int = 100_000) -> Design:
+    """The design of the tables from the schema graph of all payloads; the graph (not the records) comes to the driver, ``max_facts`` entries at most."""
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                graph_of(read_record(p, root), root, seen)
+                for record in read_record(p, root):
+                    graph_of(record, root, seen)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*seen) if seen else [()] * 4)], names=["kind", "element", "name", "what"])
 
-    graph = one.select("payload").mapInArrow(facts, "kind string, element string, name string, what string").distinct()
-    plan = design([tuple(r) for r in collect_bounded(graph, max_facts, "the schema graph")], root)
+    graph = payloads.where("rec_id is not null and payload is not null").select("payload").mapInArrow(facts, "kind string, element string, name string, what string").distinct()
+    return design([tuple(r) for r in collect_bounded(graph, max_facts, "the schema graph")], root, kept)
+
+
+def flatten(payloads: DataFrame, root: str, kept: tuple = (), max_facts: int = 100_000) -> DataFrame:
+    """All rows of all tables: rec_id, element (the table), row_id, parent_element, parent_id, list_no (place in its list, from 1), fields.
+
+    payloads: rec_id, received_at, payload (JSON text, perhaps wrapped, to any
+    depth). Parent links hold within rec_id. A value that is an object in one
+    record and a list of objects in another counts as a list of one; lists in lists
+    count as one list; a payload with several root objects has a row for each.
+    Null and unreadable payloads give no rows; of several copies of a record one is
+    used; null fields stay as null; unknown fields are kept; an empty input gives
+    no rows.
+    """
+    plan = planned(payloads, root, kept, max_facts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,39 +251,75 @@ def flatten(payloads: DataFrame, root: str = ROOT, max_facts: int = 100_000) ->
                     out = []
             yield _emit(out)
 
-    return one.mapInArrow(rows, ROWS)
+    return readable(payloads, root).mapInArrow(rows, ROWS)
 
 
-def number(name: str, kind: str) -> Column:
-    """A field as a number; text that isn't one is null."""
-    return F.expr(f"try_cast(trim(fields['{name}']) as {kind})")
+class Col(NamedTuple):
+    """A column of a typed table."""
 
+    name: str
+    kind: str  # string, int, double; text that isn't one is null
+    what: str  # row_id, list_no, element or a field
+    of: tuple = ()  # steps up from the row itself: None to the parent row, elements to the nearest row of these that it lies in
 
-def cells(rows: DataFrame) -> DataFrame:
-    """Every table cell in fixed types with its row, its table and what holds the table."""
-    own = rows.where("element = 'Cells'").select("rec_id", F.col("row_id").alias("cell_id"), F.col("parent_id").alias("line_id"), F.col("list_no").alias("cell_no"), F.col("fields")["Name"].alias("cell_name"), F.col("fields")["Text"].alias("text"), number("ColSpan", "int").alias("col_span"), number("RowSpan", "int").alias("row_span"))
-    lines = rows.where("element = 'Rows'").select("rec_id", F.col("row_id").alias("line_id"), F.col("parent_id").alias("table_id"), F.col("list_no").alias("row_no"))
-    return own.join(lines, ["rec_id", "line_id"]).join(holders(rows), ["rec_id", "table_id"])
 
+class Table(NamedTuple):
+    """A typed table: the rows of the elements it takes, with columns of their own and of the rows they lie in."""
 
-def holders(rows: DataFrame) -> DataFrame:
-    """Every table with its name and the name of what holds it."""
-    tables = rows.where("element = 'TableObject'").select("rec_id", F.col("row_id").alias("table_id"), F.col("fields")["Name"].alias("table_name"), "parent_id")
-    names = rows.where("element <> 'TableObject' and element not in ('Rows', 'Columns')").select("rec_id", F.col("row_id").alias("parent_id"), F.col("element").alias("parent_element"), F.col("fields")["Name"].alias("parent_name"))
-    return tables.join(names, ["rec_id", "parent_id"], "left")
+    takes: Callable[[str], bool]
+    columns: tuple[Col, ...]
+    distinct: bool = False  # whether equal rows of a record count once
 
 
-def columns(rows: DataFrame) -> DataFrame:
-    """Every table column with its width as a number."""
-    own = rows.where("element = 'Columns'").select("rec_id", F.col("row_id").alias("column_id"), F.col("parent_id").alias("table_id"), F.col("list_no").alias("column_no"), F.col("fields")["Name"].alias("column_name"), number("Width", "double").alias("width"))
-    return own.join(holders(rows).select("rec_id", "table_id", "table_name"), ["rec_id", "table_id"])
+def _ways(rows: list[tuple], table: Table) -> dict:
+    """For each step that the columns take: where it leads from each row of a record (parents come before what lies in them)."""
+    ways: dict = {}
+    for step in {s for c in table.columns for s in c.of}:
+        to: list = []
+        for row in rows:
+            up = row[4]
+            to.append(up if up is None or step is None or rows[up - 1][1] in step else to[up - 1])
+        ways[step] = to
+    return ways
+
+
+def _value(rows: list[tuple], ways: dict, at: int, col: Col):
+    up = at + 1
+    for step in col.of:
+        up = ways[step][up - 1]
+        if up is None:
+            return None
+    row = rows[up - 1]
+    return row[2] if col.what == "row_id" else row[5] if col.what == "list_no" else row[1] if col.what == "element" else row[6].get(col.what)
+
+
+def typed(payloads: DataFrame, table: Table, root: str, kept: tuple = (), max_facts: int = 100_000) -> DataFrame:
+    """One flat table in fixed types, rec_id first: the rows of flatten with their links resolved, record by record, so that nothing is joined."""
+    plan = planned(payloads, root, kept, max_facts)
+    made_of = {"row_id": pa.int32(), "list_no": pa.int32()}
+    shape = pa.schema([("rec_id", pa.int64()), *((c.name, made_of.get(c.what, pa.string())) for c in table.columns)])
+
+    def emit(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(shape), shape)], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for rec_id, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = shred(rec_id, read_record(p, root), plan, root)
+                ways = _ways(rows, table)
+                own = [(rec_id, *(_value(rows, ways, at, c) for c in table.columns)) for at, row in enumerate(rows) if table.takes(row[1])]
+                out += dict.fromkeys(own) if table.distinct else own
+                if len(out) > 20_000:
+                    yield emit(out)
+                    out = []
+            yield emit(out)
+
+    sql = {"row_id": "int", "list_no": "int"}
+    flat = readable(payloads, root).mapInArrow(run, "rec_id bigint, " + ", ".join(f"{c.name} {sql.get(c.what, 'string')}" for c in table.columns))
+    return flat.select("rec_id", *(F.expr(f"try_cast(trim({c.name}) as {c.kind}) as {c.name}") if c.what not in sql and c.kind != "string" else F.col(c.name) for c in table.columns))
 
 
 def elements(rows: DataFrame) -> DataFrame:
     """How many rows each table has, how many of them have a parent, and how many fields are used."""
     return rows.groupBy("element").agg(F.count("*").alias("n_rows"), F.count("parent_id").alias("n_linked"), F.countDistinct("rec_id").alias("n_records"), F.sum(F.size("fields")).cast("bigint").alias("n_fields"))
-
-
-def found(payloads: DataFrame) -> DataFrame:
-    """rec_id, table_name, row_no, cell_no, parent_name of every cell."""
-    return cells(cut(flatten(payloads))).select("rec_id", "table_name", "row_no", "cell_no", "parent_name").distinct()
