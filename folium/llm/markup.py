@@ -11,14 +11,18 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folium.llm import scanners
 from folium.llm.boosting import Boosted
 
 # Names that the languages define.
@@ -32,34 +36,25 @@ KINDS = ("html", "html_open", "html_close", "comment", "entity", "heading", "set
 KIND_NO = {k: i for i, k in enumerate(KINDS)}
 
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\s[^<>]*)?)(/?)>")
-COMMENT = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<!DOCTYPE[^>]*>|<\?xml[^>]*\?>", re.S | re.I)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
-HEADING = re.compile(r"([ ]{0,3}#{1,6}[ \t]+)(\S.*?)([ \t]*#*[ \t]*)$")
-WIKI_HEADING = re.compile(r"(={2,6}[ \t]*)([^=\s].*?)([ \t]*={2,6}[ \t]*)$")
+HEADING = re.compile(r"[ ]{0,3}(#{1,6})[ \t]+(?=\S)")
+WIKI_HEADING = re.compile(r"(={2,6})[ \t]*(?=[^=\s])")
 SETEXT = re.compile(r"[ ]{0,3}(=+|-+)[ \t]*$")
 BULLET = re.compile(r"([ \t]*[-*+][ \t]+(?:\[[ xX]\][ \t]+)?)(\S.*)$")
 NUMBERED = re.compile(r"([ \t]*\d{1,3}[.)][ \t]+)(\S.*)$")
 QUOTE = re.compile(r"([ ]{0,3}>[ \t]?)(.*)$")
-TABLE_RULE = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+TABLE_RULE = re.compile(r"[ \t]*+\|?+[ \t]*+:?+-++:?+[ \t]*+(?:\|[ \t]*+:?+-++:?+[ \t]*+)*+\|?+[ \t]*+$")
 RULE = re.compile(r"[ ]{0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
-FENCE = re.compile(r"(^|\n)([ ]{0,3}(`{3,}|~{3,})[^\r\n`]*\r?\n)(.*?)(\r?\n[ ]{0,3}\3[ \t]*(?=\r|\n|$)|$)", re.S)
+FENCE = re.compile(r"(^|\n)([ ]{0,3}(`{3,}+|~{3,}+)[^\r\n`]*+\r?\n)(.*?)(\r?\n[ ]{0,3}\3[ \t]*(?=\r|\n|$)|$)", re.S)
 CODE = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\r\n]+?)(?<!`)\1(?!`)")
-STRONG = re.compile(r"(?<![\\*])(\*{1,3})(?![\s*])((?:[^*\r\n]|\*(?!\1))+?)(?<![\s*])\1(?!\*)")
-UNDER = re.compile(r"(?<![\\_])(_{1,3})(?![\s_])([^\r\n]+?)(?<![\s_])\1(?!_)")
-STRIKE = re.compile(r"(~~)(?=[^\s~])([^\r\n]+?)(?<=[^\s~])(~~)")
 LINK = re.compile(r"(!?\[)([^\[\]\r\n]*)(\]\([^()\s]+(?:[ \t]+[\"'][^\"'\r\n]*[\"'])?\)|\]\[[^\[\]\r\n]*\])")
 WIKI_LINK = re.compile(r"(\[\[(?:[^\[\]|\r\n]*\|)*)([^\[\]|\r\n]+)(\]\])")
-OUTER_LINK = re.compile(r"(\[(?:https?|ftp|mailto|doc)://?[^\s\[\]]+[ \t]+)([^\[\]\r\n]+)(\])")
+OUTER_LINK = re.compile(r"(\[(?=[^\[\]\r\n]*+\])(?:https?|ftp|mailto|doc)://?[^\s\[\]]+[ \t]+)([^\[\]\r\n]+)(\])")
 TEMPLATE = re.compile(r"\{\{[^{}\r\n]+\}\}")
-WIKI_TABLE = re.compile(r"\{\|.*?\n\|\}", re.S)
-WIKI_QUOTE = re.compile(r"(?<!')('{2,5})(?!')([^'\r\n]+?(?:'[^'\r\n]+?)*)(?<!')\1(?!')")
-ENV = re.compile(r"(\\begin\{([A-Za-z]+\*?)\}(?:\[[^\]]*\]|\{[^}]*\})*[ \t]*\r?\n?)(.*?)(\r?\n?\\end\{\2\})", re.S)
 MATH_ENVS = frozenset("equation equation* align align* displaymath math gather gather* eqnarray multline verbatim lstlisting".split())
 ITEM = re.compile(r"\\item(?:\[[^\]]*\])?[ \t]*")
-COMMAND = re.compile(r"(\\([A-Za-z]+)\*?(?:\[[^\]\r\n]*\])?\{)([^{}]*(?:\{[^{}]*\}[^{}]*)*)(\})")
 BARE = re.compile(r"\\([A-Za-z]+)\*?")
-MATH = re.compile(r"(\$\$)(.+?)(\$\$)|(?<![\\$\w])(\$)(?=[^\s$])([^$\r\n]+?)(?<=[^\s$\\])(\$)(?![\d$])|(\\\[)(.+?)(\\\])|(\\\()(.+?)(\\\))", re.S)
 BREAK = re.compile(r"\\\\(?=[ \t\r\n]|$)")
 ESCAPE = re.compile(r"\\[%&$#_{}*\[\]`]")
 #: Whatever has none of these has no candidate.
@@ -83,8 +78,8 @@ def _tag_text(name: str, closing: bool) -> str:
 
 
 def _html(text: str, out: list[Node]) -> None:
-    for m in COMMENT.finditer(text):
-        out.append(Node("comment", *m.span(), *m.span(), [(*m.span(), "")]))
+    for span in scanners.comments(text) if "<" in text else ():
+        out.append(Node("comment", *span, *span, [(*span, "")]))
     open_tags: dict[str, list[tuple[int, re.Match]]] = {}
     tags = list(TAG.finditer(text)) if "<" in text else []
     for m in tags:
@@ -108,6 +103,13 @@ def _html(text: str, out: list[Node]) -> None:
         out.append(Node("entity", *m.span(), *m.span(), [(*m.span(), html.unescape(m[0]))], m[0][1:]))
 
 
+def _wiki_end(line: str) -> int:
+    """Where the text of a wiki heading ends: before two to six closing signs; 0 if there are none."""
+    whole = line.rstrip(" \t")
+    closing = min(6, len(whole) - len(whole.rstrip("=")))
+    return len(whole[: len(whole) - closing].rstrip(" \t")) if closing > 1 else 0
+
+
 def _lines(text: str, out: list[Node]) -> None:
     rows = []
     for m in LINE.finditer(text):
@@ -120,9 +122,10 @@ def _lines(text: str, out: list[Node]) -> None:
         line = text[a:b]
         nxt = text[rows[k + 1][0] : rows[k + 1][1]] if k + 1 < len(rows) else ""
         if m := HEADING.match(line):
-            out.append(Node("heading", a, b, a + m.start(2), a + m.end(2), [(a, a + m.end(1), ""), (a + m.start(3), b, "")]))
-        elif m := WIKI_HEADING.match(line):
-            out.append(Node("wiki_heading", a, b, a + m.start(2), a + m.end(2), [(a, a + m.end(1), ""), (a + m.start(3), b, "")]))
+            stop = max(m.end() + 1, len(line.rstrip(" \t").rstrip("#").rstrip(" \t")))
+            out.append(Node("heading", a, b, a + m.end(), a + stop, [(a, a + m.end(), ""), (a + stop, b, "")], m[1]))
+        elif (m := WIKI_HEADING.match(line)) and (stop := _wiki_end(line)) > m.end():
+            out.append(Node("wiki_heading", a, b, a + m.end(), a + stop, [(a, a + m.end(), ""), (a + stop, b, "")], m[1]))
         elif "|" in line and "|" in nxt and TABLE_RULE.match(nxt):
             last = k + 2
             while last < len(rows) and "|" in text[rows[last][0] : rows[last][1]]:
@@ -130,22 +133,26 @@ def _lines(text: str, out: list[Node]) -> None:
             cuts = [(rows[k + 1][0], rows[k + 1][2], "")]
             for r in [k, *range(k + 2, last)]:
                 ra, rb = rows[r][:2]
-                pipes = [i for i in range(ra, rb) if text[i] == "|" and text[i - 1 : i] != "\\"]
-                for i in pipes:
+                row = text[ra:rb]
+                begin, end = ra + len(row) - len(row.lstrip()), ra + len(row.rstrip())
+                done = ra
+                for i in range(ra, rb):
+                    if text[i] != "|" or text[i - 1 : i] == "\\":
+                        continue
                     lo, hi = i, i + 1
                     while lo > ra and text[lo - 1] in " \t":
                         lo -= 1
                     while hi < rb and text[hi] in " \t":
                         hi += 1
-                    edge = not text[ra:lo].strip() or not text[hi:rb].strip()
-                    if not cuts or lo >= max(c[1] for c in cuts if c[0] <= lo) if any(c[0] <= lo for c in cuts) else True:
-                        cuts.append((lo, hi, "" if edge else "\t"))
+                    if lo >= done:
+                        cuts.append((lo, hi, "" if lo <= begin or hi >= end else "\t"))
+                        done = hi
             out.append(Node("table", a, rows[last - 1][1], a, rows[last - 1][1], sorted(cuts)))
             k = last
             continue
         elif nxt and line.strip() and SETEXT.match(nxt) and len(nxt.strip()) >= 3 and not BULLET.match(line):
             na, nb = rows[k + 1][:2]
-            out.append(Node("setext", a, nb, a, b, [(b, nb, "")]))
+            out.append(Node("setext", a, nb, a, b, [(b, nb, "")], nxt.strip()[0]))
             k += 2
             continue
         elif RULE.match(line):
@@ -176,14 +183,14 @@ def _inline(text: str, out: list[Node]) -> None:
             pair("fence", m, m.span(2), m.span(4), m.span(5))
         for m in CODE.finditer(text):
             pair("code", m, (m.start(), m.start(2)), m.span(2), (m.end(2), m.end()))
-        for m in STRIKE.finditer(text):
-            pair("strike", m, m.span(1), m.span(2), m.span(3))
+        for a, ia, ib, b in scanners.struck(text):
+            out.append(Node("strike", a, b, ia, ib, [(a, ia, ""), (ib, b, "")]))
     if "*" in text:
-        for m in STRONG.finditer(text):
-            pair("strong", m, m.span(1), m.span(2), (m.end(2), m.end()), str(len(m[1])))
+        for a, ia, ib, b in scanners.emphasis(text, "*"):
+            out.append(Node("strong", a, b, ia, ib, [(a, ia, ""), (ib, b, "")], str(ia - a)))
     if "_" in text:
-        for m in UNDER.finditer(text):
-            pair("under", m, m.span(1), m.span(2), (m.end(2), m.end()), str(len(m[1])))
+        for a, ia, ib, b in scanners.emphasis(text, "_", blocks=False):
+            out.append(Node("under", a, b, ia, ib, [(a, ia, ""), (ib, b, "")], str(ia - a)))
     if "[" in text:
         for m in LINK.finditer(text):
             pair("link", m, m.span(1), m.span(2), m.span(3), "!" if m[1][0] == "!" else "ref" if m[3].startswith("][") else "url")
@@ -194,26 +201,27 @@ def _inline(text: str, out: list[Node]) -> None:
     if "{" in text:
         for m in TEMPLATE.finditer(text):
             out.append(Node("template", *m.span(), *m.span(), [(*m.span(), ", ".join(p.strip() for p in m[0][2:-2].split("|")))]))
-        for m in WIKI_TABLE.finditer(text):
-            cuts = [(m.start() + c.start(), m.start() + c.end(), new) for pattern, new in ((r"^\{\|[^\r\n]*\r?\n", ""), (r"\r?\n\|\}$", "")) for c in re.finditer(pattern, m[0])]
-            cuts += [(m.start() + c.start(), m.start() + c.end(), "" if c[0].strip() in ("|-",) else "\t" if c[0].strip() in ("!!", "||") else "\n") for c in re.finditer(r"\r?\n\|-[^\r\n]*|[ \t]*(?:!!|\|\|)[ \t]*|(?<=\n)[!|](?![-}|!])[ \t]*", m[0])]
-            out.append(Node("wiki_table", *m.span(), *m.span(), cuts))
+        for a, b in scanners.wiki_tables(text):
+            whole = text[a:b]
+            cuts = [(a + c.start(), a + c.end(), new) for pattern, new in ((r"^\{\|[^\r\n]*\r?\n", ""), (r"\r?\n\|\}$", "")) for c in re.finditer(pattern, whole)]
+            cuts += [(a + c.start(), a + c.end(), "" if c[0].strip() in ("|-",) else "\t" if c[0].strip() in ("!!", "||") else "\n") for c in re.finditer(r"\r?\n\|-[^\r\n]*|(?<![ \t])[ \t]*(?:!!|\|\|)[ \t]*|(?<=\n)[!|](?![-}|!])[ \t]*", whole)]
+            out.append(Node("wiki_table", a, b, a, b, cuts))
     if "''" in text:
-        for m in WIKI_QUOTE.finditer(text):
-            pair("wiki_quote", m, m.span(1), m.span(2), (m.end(2), m.end()))
+        for a, ia, ib, b in scanners.quoted(text):
+            out.append(Node("wiki_quote", a, b, ia, ib, [(a, ia, ""), (ib, b, "")]))
     if "\\" in text:
-        for m in ENV.finditer(text):
-            kind = "env_math" if m[2] in MATH_ENVS else "env"
-            pair(kind, m, m.span(1), m.span(3), m.span(4), m[2])
+        for name, a, ia, ib, b in scanners.environments(text):
+            kind = "env_math" if name in MATH_ENVS else "env"
+            out.append(Node(kind, a, b, ia, ib, [(a, ia, ""), (ib, b, "")], name))
             if kind == "env":
-                marks = list(ITEM.finditer(text, *m.span(3)))
+                marks = list(ITEM.finditer(text, ia, ib))
                 for i, c in enumerate(marks):
-                    stop = marks[i + 1].start() if i + 1 < len(marks) else m.end(3)
+                    stop = marks[i + 1].start() if i + 1 < len(marks) else ib
                     out.append(Node("item", c.start(), stop, c.end(), stop, [(*c.span(), "• ")], "\\"))
-        for m in COMMAND.finditer(text):
-            heads = m[2] in ("section", "subsection", "subsubsection", "paragraph", "chapter", "title")
-            if m[2] not in ("begin", "end"):
-                pair("command", m, m.span(1), m.span(3), m.span(4), m[2], ("\n", "\n") if heads else ("", ""))
+        for name, a, ia, ib, b in scanners.commands(text):
+            new = "\n" if name in ("section", "subsection", "subsubsection", "paragraph", "chapter", "title") else ""
+            if name not in ("begin", "end"):
+                out.append(Node("command", a, b, ia, ib, [(a, ia, new), (ib, b, new)], name))
         for m in BARE.finditer(text):
             if m[1] not in ("begin", "end", "item"):
                 out.append(Node("bare", *m.span(), *m.span(), [(*m.span(), "")], m[1]))
@@ -222,9 +230,8 @@ def _inline(text: str, out: list[Node]) -> None:
         for m in ESCAPE.finditer(text):
             out.append(Node("escape", *m.span(), *m.span(), [(*m.span(), m[0][1:])]))
     if "$" in text or "\\" in text:
-        for m in MATH.finditer(text):
-            g = next(i for i in (1, 4, 7, 10) if m[i])
-            pair("math", m, m.span(g), m.span(g + 1), m.span(g + 2), m[g])
+        for mark, a, ia, ib, b in scanners.formulas(text):
+            out.append(Node("math", a, b, ia, ib, [(a, ia, ""), (ib, b, "")], mark))
 
 
 def tree(text: str) -> list[Node]:
@@ -239,11 +246,23 @@ def tree(text: str) -> list[Node]:
     found.sort(key=rank)
     kept: list[Node] = []
     stack: list[Node] = []
+    sorted_cuts: dict[int, tuple[list[int], list[int]]] = {}  # starts of a node's cuts, and the furthest end up to each
+
+    def touched(n: Node, top: Node) -> bool:
+        if len(top.cuts) < 4:
+            return any(c[0] < n.b and n.a < c[1] for c in top.cuts)
+        if top.no not in sorted_cuts:
+            own = sorted((c[0], c[1]) for c in top.cuts)
+            sorted_cuts[top.no] = [c[0] for c in own], list(accumulate((c[1] for c in own), max))
+        starts, ends = sorted_cuts[top.no]
+        k = bisect_left(starts, n.b)
+        return k > 0 and n.a < ends[k - 1]
+
     for n in found:
         while stack and stack[-1].b <= n.a:
             stack.pop()
         top = stack[-1] if stack else None
-        if top is not None and (n.b > top.b or any(c[0] < n.b and n.a < c[1] for c in top.cuts) and not (top.kind == "item" and n.kind == "list")):
+        if top is not None and (n.b > top.b or touched(n, top) and not (top.kind == "item" and n.kind == "list")):
             continue  # crosses its parent or touches what the parent cuts away
         n.parent, n.depth = top, len(stack)
         if top is not None:
@@ -254,8 +273,10 @@ def tree(text: str) -> list[Node]:
     return kept
 
 
-NUMBERS = 34
 ATTRIBUTES = ("href", "src", "style", "class", "color", "size", "width", "align", "name", "id")
+NUMBERS = 34 + len(ATTRIBUTES)
+SIGNS = frozenset("\\^_{}=")
+LEVELS = frozenset(("heading", "wiki_heading", "setext"))  # their name is the mark, for the level
 
 
 def features(text: str, nodes: list[Node]) -> np.ndarray:
@@ -271,21 +292,27 @@ def features(text: str, nodes: list[Node]) -> np.ndarray:
     for n in nodes:
         kinds[KIND_NO[n.kind]] += 1
     roots = sum(n.parent is None for n in nodes)
+    # how many signs of each sort stand before each place
+    letters, digits, blanks, ends, signs = (list(accumulate(map(test, text), initial=0)) for test in (str.isalpha, str.isdigit, " ".__eq__, "\n".__eq__, SIGNS.__contains__))
+    alike: dict[int, Counter] = {}
     for i, n in enumerate(nodes):
-        inner, whole = text[n.ia : n.ib], text[n.a : n.b]
-        letters = sum(c.isalpha() for c in inner)
-        digits = sum(c.isdigit() for c in inner)
+        inner, whole = n.ib - n.ia, n.b - n.a
         before, after = text[n.a - 1 : n.a], text[n.b : n.b + 1]
         siblings = n.parent.children if n.parent else None
+        if siblings and n.parent.no not in alike:
+            alike[n.parent.no] = Counter(s.kind for s in siblings)
         known = n.name in BLOCK or n.name in INLINE if n.kind in ("html", "html_open", "html_close") else n.name in COMMANDS if n.kind in ("command", "bare") else n.name in html5 or n.name + ";" in html5 or n.name[:1] == "#" if n.kind == "entity" else False
+        name = "" if n.kind in LEVELS else n.name
         attrs = n.attrs.lower()
-        x[i] = (
-            KIND_NO[n.kind], known, len(whole), len(inner), letters / (len(inner) or 1), digits / (len(inner) or 1), inner.count(" "), whole.count("\n"),
+        x[i, :34] = (
+            KIND_NO[n.kind], known, whole, inner, (letters[n.ib] - letters[n.ia]) / (inner or 1), (digits[n.ib] - digits[n.ia]) / (inner or 1), blanks[n.ib] - blanks[n.ia], ends[n.b] - ends[n.a],
             before == "" or before in "\r\n", before.isalnum(), before.isspace(), before in ":\\/", before.isdigit(), after == "" or after in "\r\n", after.isalnum(), after.isspace(), after in "\\/.:",
-            n.depth, len(siblings) if siblings else roots, sum(s.kind == n.kind for s in siblings) if siblings else kinds[KIND_NO[n.kind]], sizes[i], cut[i] / (len(whole) or 1), len(n.children),
-            KIND_NO[n.parent.kind] if n.parent else -1, sum(a in attrs for a in ATTRIBUTES), attrs.count("="), len(n.cuts[0][2]) if n.cuts else 0, len(whole) / (len(text) or 1),
-            kinds[KIND_NO[n.kind]], len(nodes), ord(n.name[0]) if n.name else 0, len(n.name), any(c in inner for c in "\\^_{}="), text[n.a : n.a + 2] == "  ",
+            n.depth, len(siblings) if siblings else roots, alike[n.parent.no][n.kind] if siblings else kinds[KIND_NO[n.kind]], sizes[i], cut[i] / (whole or 1), len(n.children),
+            KIND_NO[n.parent.kind] if n.parent else -1, sum(a in attrs for a in ATTRIBUTES), attrs.count("="), len(n.cuts[0][2]) if n.cuts else 0, whole / (len(text) or 1),
+            kinds[KIND_NO[n.kind]], len(nodes), ord(name[0]) if name else 0, len(name), signs[n.ib] > signs[n.ia], text[n.a : n.a + 2] == "  ",
         )
+        if attrs:
+            x[i, 34:] = [a in attrs for a in ATTRIBUTES]
     return x
 
 
@@ -323,8 +350,33 @@ ROLE = {"heading": "heading", "setext": "heading", "wiki_heading": "heading", "i
 TAG_ROLE = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "li": "list item", "table": "table", "pre": "code", "code": "code", "a": "link", "blockquote": "quotation"}
 
 
-def cleaned(text: str, nodes: list[Node], chosen: np.ndarray) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text without the chosen markup, and its structure: (role, start, end) in the clean text."""
+SECTIONS = ("chapter", "section", "subsection", "subsubsection")
+HREF = re.compile(r"\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+
+
+def detail(text: str, n: Node, role: str) -> str | None:
+    """What the markup said beside the text: the level of a heading, the target of a link, the language of code."""
+    if role == "heading":
+        if n.kind == "html":
+            return n.name[1:]
+        if n.kind == "setext":
+            return "1" if n.name == "=" else "2"
+        return str(SECTIONS.index(n.name) if n.name in SECTIONS else len(n.name)) if n.kind in ("command", *LEVELS) else None
+    if role == "link":
+        if n.kind == "html":
+            m = HREF.search(n.attrs)
+            return next((g for g in m.groups() if g is not None), None) if m else None
+        left, right = text[n.a : n.ia], text[n.ib : n.b]
+        if n.kind == "wiki_link":
+            return left.strip("[|").split("|")[0].strip() or text[n.ia : n.ib]
+        return left[1:].strip() if n.name == "outer" else right[2:-1].split(" ")[0].strip() or None
+    if role == "code" and n.kind == "fence":
+        return text[n.a : n.ia].strip(" `~\r\n\t") or None
+    return None
+
+
+def cleaned(text: str, nodes: list[Node], chosen: np.ndarray) -> tuple[str, list[tuple[str, int, int, str | None]]]:
+    """The text without the chosen markup, and its structure: (role, start, end, detail), places in the clean text."""
     cuts = sorted(c for n in nodes if chosen[n.no] for c in n.cuts if c[0] < c[1] or c[2])
     out, at, size, marks = [], 0, 0, [(0, 0)]
     for a, b, new in cuts:
@@ -338,7 +390,7 @@ def cleaned(text: str, nodes: list[Node], chosen: np.ndarray) -> tuple[str, list
     places = [m[0] for m in marks]
 
     def moved(p: int) -> int:
-        k = int(np.searchsorted(places, p, "right")) - 1
+        k = bisect_right(places, p) - 1
         return min(marks[k][1] + p - marks[k][0], marks[k + 1][1] if k + 1 < len(marks) else size + len(text) - at)
 
     roles = []
@@ -346,7 +398,7 @@ def cleaned(text: str, nodes: list[Node], chosen: np.ndarray) -> tuple[str, list
         if chosen[n.no]:
             role = TAG_ROLE.get(n.name) if n.kind == "html" else "heading" if n.kind == "command" and n.name.endswith("section") else ROLE.get(n.kind)
             if role:
-                roles.append((role, moved(n.ia), moved(n.ib)))
+                roles.append((role, moved(n.ia), moved(n.ib), detail(text, n, role)))
     return "".join(out), roles
 
 
@@ -535,8 +587,8 @@ def model(rows: int = 6000, seed: int = 7, trees: int = 60, depth: int = 5) -> B
     return _MODEL[key]
 
 
-OUT = "doc_id string, node_id int, clean string, structure array<struct<role: string, start: int, end: int>>, n_markup int, text string"
-ROLES = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+OUT = "doc_id string, node_id int, clean string, structure array<struct<role: string, start: int, end: int, detail: string>>, n_markup int, text string"
+ROLES = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("detail", pa.string())]))
 
 
 def judge(texts: list[str], boosted: Boosted) -> Iterator[tuple[list[Node], np.ndarray] | None]:
@@ -558,7 +610,8 @@ def strip_markup(df: DataFrame, boosted: Boosted | None = None) -> DataFrame:
 
     df: doc_id, node_id, text. Output: doc_id, node_id, clean (headings and cells on
     their own, list items after a bullet, code and formulas as written), structure
-    (role, start, end in clean), n_markup (constructs), text. Null and empty texts
+    (role, start and end in clean, detail: level of a heading, target of a link,
+    language of code), n_markup (constructs), text. Null and empty texts
     and texts without markup give no rows; repeated rows count once.
     """
     shared = df.sparkSession.sparkContext.broadcast(boosted or model())
@@ -574,7 +627,7 @@ def strip_markup(df: DataFrame, boosted: Boosted | None = None) -> DataFrame:
                         plain, structure = cleaned(text, *found)
                         keep.append(k)
                         clean.append(plain)
-                        roles.append([{"role": r, "start": a, "end": b} for r, a, b in structure])
+                        roles.append([{"role": r, "start": a, "end": b, "detail": d} for r, a, b, d in structure])
                         count.append(int(found[1].sum()))
                 if keep:
                     kept = batch.take(pa.array(keep))

@@ -69,3 +69,26 @@ def test_decoding_keeps_to_ancestors(boosted):
                 assert not (p.kind in L.OPAQUE and chosen[p.no])
             if p is not None and n.kind in L.STRUCTURAL.get(p.kind, ()) and not (p.parent and p.parent.kind in L.OPAQUE):
                 assert chosen[n.no] == chosen[p.no]
+
+
+HARD = ["_a " * 16000, "*a " * 16000, "~~a " * 16000, "''a " * 15000, "$$a " * 15000, "\\[a " * 15000, "<!--a " * 10000, "\\begin{a} " * 5000, "\\begin{a}[" * 5000, "\\a[" * 15000, "|a|b|c|d|\n|-|-|-|-|\n" + "|a|b|c|d|\n" * 5000, "- item\n" * 8000, "<b>" * 8000 + "x" + "</b>" * 8000, "# a" + " " * 50000 + "b", "|" * 30000 + "\n|-|\n" + "|" * 20000, "{|" * 30000, "[http://x" + " " * 50000, "~" * 60000, "a|b\n" + " " * 50000 + "x|"]
+
+
+@pytest.mark.parametrize("k", range(len(HARD)))
+def test_no_text_takes_long(boosted, k):
+    """Work grows with the length only: what took minutes by trying every opening mark to the end takes a second or two at most."""
+    import time
+
+    began = time.process_time()
+    nodes = L.tree(HARD[k])
+    if nodes:
+        L.cleaned(HARD[k], nodes, L.decode(nodes, boosted.odds(L.features(HARD[k], nodes))))
+    assert time.process_time() - began < 4
+
+
+def test_details(spark, boosted):
+    texts = ["<h3>Titel</h3> <a href='doc://x/7'>ab</a>", "## Kopf\n\n```sql\nx = 1 * 2\n```\n\n[t](doc://x/1)\n\nwort", "== Eins ==\n[[Seite|Wort]] drei", "\\subsection{X}\nwort"]
+    got = run(spark, boosted, texts)
+    parts = {k: {(s.role, s.detail) for s in r.structure} for k, r in got.items()}
+    assert {("heading", "3"), ("link", "doc://x/7")} <= parts[0] and {("heading", "2"), ("code", "sql"), ("link", "doc://x/1")} <= parts[1]
+    assert {("heading", "2"), ("link", "Seite")} <= parts[2] and ("heading", "2") in parts[3]
