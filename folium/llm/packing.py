@@ -4,8 +4,7 @@ Every item is a vector (tokens, one document, attention cost = tokens squared) a
 so is what a container has left. An item goes to the open container that satisfies
 every constraint and leaves the least weighted residual norm (or has the greatest
 weighted dot product); large items come first. Items are packed in blocks of
-bounded size, so the work is spread and only the last container of a block may
-stay part empty.
+bounded size, so the work is spread whatever the keys.
 """
 
 from __future__ import annotations
@@ -63,7 +62,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PAT
 
 
 def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_attention: float, weights: tuple = WEIGHTS, rule: str = "norm") -> np.ndarray:
-    """The container number of each size; sizes are at most capacity. Ties go to the container opened first."""
+    """The container number of each size; sizes are at most capacity. Ties go to the container opened first; an item that alone costs more than the attention limit has a container to itself."""
     order = np.argsort(-sizes, kind="stable")
     into = np.empty(len(sizes), np.int64)
     limits = np.array([capacity, max_docs, max_attention], float)
@@ -87,7 +86,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_attention: flo
         else:
             left[:, k] = after[:, k]
         into[i] = number[k]
-        if left[0, k] * capacity < least - 1e-9 or left[1, k] * max_docs < 1 - 1e-9:  # nothing fits any more
+        if left[0, k] * capacity < least - 1e-9 or left[1, k] * max_docs < 1 - 1e-9 or left[2, k] * max_attention < float(least) ** 2 - 1e-9:  # nothing fits any more
             n -= 1
             if k != n:  # keeps the order of opening
                 left[:, k:n] = left[:, k + 1 : n + 1].copy()
@@ -95,15 +94,16 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_attention: flo
     return into
 
 
-def pack(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_docs: int = 8192, max_docs_share: int = 16, attention: float = 1.0, rule: str = "norm", max_targets: int = 1000) -> DataFrame:
+def pack(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_docs: int = 8192, max_docs_share: int = 96, attention: float = 0.9, rule: str = "norm", max_targets: int = 1000) -> DataFrame:
     """The container of every text for every target.
 
     docs: doc_id (unique; repeated rows count once), text; targets: target_id,
     capacity. Output: target_id, capacity, doc_id, piece_no (from 1), tokens,
     container (text "block-number", null for texts without tokens). Only a text
     longer than the capacity is split: into full pieces and a rest. A container
-    holds at most capacity / ``max_docs_share`` pieces (8 at least) and an
-    attention cost of ``attention`` * capacity squared. Targets with a null or
+    holds at most capacity / ``max_docs_share`` pieces (4 at least) and, unless one
+    piece alone costs more, an attention cost of ``attention`` * capacity squared;
+    with the defaults all three limits bind. Targets with a null or
     non-positive capacity are left out. Blocks of about ``block_docs`` documents
     are drawn by hash of doc_id, so none is hot whatever the keys.
     """
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_
         at = np.repeat(np.arange(len(group)), pieces)
         no = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(capacity, tokens[at] - no * capacity)
-        into = best_fit(size, capacity, max(8, capacity // max_docs_share), attention * float(capacity) ** 2, WEIGHTS, rule)
+        into = best_fit(size, capacity, max(4, capacity // max_docs_share), attention * float(capacity) ** 2, WEIGHTS, rule)
         return pd.DataFrame({"target_id": group["target_id"].to_numpy()[at], "capacity": capacity, "doc_id": group["doc_id"].to_numpy()[at], "piece_no": no + 1, "tokens": size, "container": [f"{block}-{k}" for k in into]})
 
     packed = placed.groupBy("target_id", "capacity", "block").applyInPandas(run, shape)

@@ -45,3 +45,18 @@ def test_constraints_and_fill(rule):
     free = L.best_fit(sizes, 100, 50, 1e4, rule=rule)
     assert sizes.sum() / (100 * len(set(free))) > 0.97
     assert len(L.best_fit(np.array([], int), 10, 5, 100.0)) == 0
+
+
+def test_all_three_limits_bind_in_pack(spark, ranks):
+    """With the defaults and a capacity of 384: four pieces, 384 tokens, an attention cost of 0.9 * 384 squared."""
+    texts = ["a" * 364] * 5 + ["b" * 20] * 5 + ["c" * 9] * 40 + ["d" * 384] * 2 + ["e" * 250] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = L.pack(df, spark.createDataFrame([(1, 384)], "target_id int, capacity int"), ranks).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.container, []).append(r.tokens)
+    limit = 0.9 * 384**2
+    assert all(sum(x) <= 384 and len(x) <= 4 and (sum(y * y for y in x) <= limit or len(x) == 1) for x in bins.values())
+    assert any(len(x) == 4 and sum(x) < 384 - 9 for x in bins.values())  # another would fit but for its number
+    assert all(20 not in x for x in bins.values() if 364 in x)  # would fit but for the attention cost
+    assert sum(x == [384] for x in bins.values()) == 2
