@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
-    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -50,6 +50,8 @@ def release(spark: SparkSession) -> None:
     """Let the context cleaner delete the shuffle files of what was cut before: it does so when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.4)  # what Python held is let go of in the background; the second collection finds what hung on it
+    spark.sparkContext._jvm.System.gc()
 
 
 def attr(name: str) -> Column:
