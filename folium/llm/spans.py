@@ -14,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.runtime import collect_bounded, cut
+from folium.runtime import cut, dropped, release, stored
 
 GEAR_BITS = 32
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BATCH_CHARS = 2_000_000
-FILTER_BITS = 1 << 23
+#: A digest that occurs so often is spread over several tasks, and over how many where its count isn't at hand.
+HOT, SPREAD = 100_000, 32
 
 
 def _mix(codes: np.ndarray, salt: int) -> np.ndarray:
@@ -149,16 +150,6 @@ def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(parts), last - [len(p) for p in parts], last
 
 
-def _bitmap(zones: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits (a megabyte, whatever the data), set at the place of every text with a zone."""
-    p = F.col("th").bitwiseAND(F.lit(FILTER_BITS - 1).cast("bigint"))
-    words = zones.select(p.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for w, bits in collect_bounded(words, FILTER_BITS // 64, "the words of the bitmap"):
-        out[w] = bits & (2**64 - 1)
-    return out
-
-
 def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> DataFrame:
     """Maximal spans of each document made of windows of ``min_chars`` code points that also stand in another document.
 
@@ -170,18 +161,22 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
     doesn't count; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars))
-    hashed = texts.withColumn("th", F.xxhash64("text"))
-    # Equal texts (by 128 bits): one class for each; only its least doc_id goes on.
-    members = hashed.select("doc_id", "th", F.xxhash64(F.lit(1), "text").alias("th2"), F.length("text").alias("n_chars")).distinct()
-    classes = members.groupBy("th", "th2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lot in _lots(batches, 1):
             codes, first, last = _laid(lot)
             owner, start, end = chunks(codes, first, last, min_chars, window)
-            digest = Digests(codes, 0)(start, end)
-            th = batch.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(th[owner]), pa.array((start - first[owner]).astype(np.int32))], names=["digest", "th", "a"])
+            at = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(lot))))).astype(np.int32))
+            digests = pa.ListArray.from_arrays(at, pa.array(Digests(codes, 0)(start, end)))
+            starts = pa.ListArray.from_arrays(at, pa.array((start - first[owner]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], digests, starts], names=["doc_id", "th", "th2", "n_chars", "digests", "starts"])
+
+    hashed = texts.select("doc_id", "text", F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("th2"), F.length("text").alias("n_chars"))
+    # The one reading of all texts; what follows reads digests.
+    read, path = stored(hashed.mapInArrow(cutting, "doc_id bigint, th bigint, th2 bigint, n_chars int, digests array<bigint>, starts array<int>"))
+    # Equal texts (by 128 bits): one class for each; only its least doc_id goes on.
+    members = cut(read.select("doc_id", "th", "th2", "n_chars").distinct())
+    classes = members.groupBy("th", "th2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
 
     def ranging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A shared span's first chunk begins less than a window after it, and its last sure chunk so late that the
@@ -191,13 +186,25 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
             for at in batch.column(1).to_pylist():
                 a = np.sort(np.array(at, np.int64))
                 zones.append([{"a": int(run[0]) - window + 1, "z": int(run[-1]) + 1} for run in np.split(a, np.flatnonzero(np.diff(a) > window) + 1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(zones, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], names=["th", "zones"])
-
-    pieces = hashed.select("doc_id", "text", "th").mapInArrow(cutting, "digest bigint, th bigint, a int")
-    both = pieces.groupBy("digest").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("digest")
-    near = pieces.join(both, "digest").groupBy("th").agg(F.collect_set("a").alias("at"))
-    zones = cut(near.mapInArrow(ranging, "th bigint, zones array<struct<a: int, z: int>>"))
-    reps = classes.join(zones, "th").select("rep", "zones")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(zones, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))), batch.column(2)], names=["th", "zones", "hot"])
+
+    pieces = read.select("th", F.explode(F.arrays_zip("digests", "starts")).alias("p")).select("th", F.col("p.digests").alias("digest"), F.col("p.starts").alias("a"))
+    both = cut(pieces.groupBy("digest").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("digest", "n"))
+    release(docs.sparkSession)
+    # Digests above a share of all chunks are at most 100,000 by that share, so their list may go to every task.
+    often = max(HOT, both.agg(F.sum("n")).first()[0] // 100_000 if not both.isEmpty() else 0)
+    parts = F.ceil(F.col("n") / often).cast("int")
+    hot = both.where(F.col("n") > often).select("digest", parts.alias("parts"))
+    if hot.isEmpty():
+        spread = pieces.join(both.select("digest", (F.col("n") > HOT).alias("hot")), "digest")
+    else:
+        salted = pieces.join(F.broadcast(hot), "digest", "left").withColumn("part", F.coalesce(F.pmod("th", "parts").cast("int"), F.lit(0)))
+        spread = salted.join(both.select("digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), (F.col("n") > HOT).alias("hot")), ["digest", "part"])
+    near = spread.groupBy("th").agg(F.collect_set("a").alias("at"), F.max("hot").alias("hot"))
+    zones = cut(near.mapInArrow(ranging, "th bigint, zones array<struct<a: int, z: int>>, hot boolean"))
+    dropped(docs.sparkSession, path)
+    release(docs.sparkSession)
+    reps = classes.join(zones, "th").select("rep", "zones", "hot")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lot in _lots(batches, 1):
@@ -211,20 +218,26 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
                         owner.append(np.full(b - a + 1, k))
             s, o = np.concatenate(starts), np.concatenate(owner)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(Digests(codes, 0)(s, s + min_chars)), pa.array(Digests(codes, 1)(s, s + min_chars).astype(np.int32)), pa.array(ids[o]), pa.array((s - first[o]).astype(np.int32))], names=["d0", "d1", "doc_id", "a"])
-
-    # Texts that surely have no zone stay where they are: a bitmap of fixed size tells them, as a filter before the join.
-    marks = texts.sparkSession.sparkContext.broadcast(_bitmap(zones))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)
-            yield batch.filter(pa.array((marks.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)).select([0, 1])
-
-    likely = hashed.select("doc_id", "text", "th").mapInArrow(marked, "doc_id bigint, text string")
-    spots = likely.join(reps, likely["doc_id"] == reps["rep"]).select("doc_id", "text", "rep", "zones").mapInArrow(windows, "d0 bigint, d1 int, doc_id bigint, a int")
-    twice = spots.groupBy("d0", "d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("d0", "d1")
-    starts = spots.join(twice, ["d0", "d1"]).select("doc_id", "a")
+            hot = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            part = np.where(hot, ids.astype(np.uint64) * np.uint64(BASES[0]) >> np.uint64(32), 0) % SPREAD + hot
+            yield pa.RecordBatch.from_arrays([pa.array(Digests(codes, 0)(s, s + min_chars)), pa.array(Digests(codes, 1)(s, s + min_chars).astype(np.int32)), pa.array(ids[o]), pa.array((s - first[o]).astype(np.int32)), pa.array(part[o].astype(np.int32))], names=["d0", "d1", "doc_id", "a", "part"])
+
+    spots = texts.join(reps, texts["doc_id"] == reps["rep"]).select("doc_id", "text", "rep", "zones", "hot").mapInArrow(windows, "d0 bigint, d1 int, doc_id bigint, a int, part int")
+    same = Window.partitionBy("d0", "d1")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same)).where("lo <> hi")
+
+    # A window that occurs often holds a chunk that does: the windows of texts with such chunks (part 1 and more) go
+    # among the others once for each digest, with two documents as evidence, and what turns out shared goes back to all.
+    if zones.where("hot").isEmpty():
+        starts = shared(spots.select("d0", "d1", "doc_id", "a")).select("doc_id", "a")
+    else:
+        often_seen = spots.where("part > 0")
+        evidence = often_seen.groupBy("d0", "d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).select("d0", "d1", F.explode(F.array("lo", "hi")).alias("doc_id"), F.lit(-1).alias("a"))
+        judged = cut(shared(spots.where("part = 0").select("d0", "d1", "doc_id", "a").unionByName(evidence)).select("d0", "d1", "doc_id", "a"))
+        back = judged.where("a < 0").select("d0", "d1").distinct().select("d0", "d1", F.explode(F.sequence(F.lit(1), F.lit(SPREAD))).alias("part"))
+        starts = judged.where("a >= 0").select("doc_id", "a").unionByName(often_seen.join(back, ["d0", "d1", "part"]).select("doc_id", "a"))
 
     def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -48,6 +48,21 @@ def test_same_as_brute_force(spark):
         assert {k: sorted(v) for k, v in got.items()} == brute(docs)
 
 
+def test_hot_passages_are_spread(spark, monkeypatch):
+    """One passage in a tenth of all texts, one text in a tenth, and digests counted as hot from the fourth on."""
+    monkeypatch.setattr(L, "HOT", 3)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("абвгдежзик") for _ in range(rng.randrange(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage, whole = some(90), some(80)
+    docs = [some(30) + passage[: rng.randrange(310, 480)] + some(30) if k % 10 == 0 else whole if k % 10 == 1 else some(60) for k in range(120)]
+    docs += [some(20) + passage[100:430], docs[2] + some(9), docs[0] + docs[3]]
+    got = {}
+    for r in L.shared_spans(frame(spark, docs)).collect():
+        got.setdefault(r.doc_id, []).append((r.span_start, r.span_end))
+    assert {k: sorted(v) for k, v in got.items()} == brute(docs)
+
+
 def test_repetition_and_empty(spark):
     own = "abc " * 200
     assert L.shared_spans(frame(spark, [own])).count() == 0 and L.shared_spans(frame(spark, [])).count() == 0
