@@ -133,6 +133,12 @@ def blocks_of(raw: bytes) -> Iterator[dict]:
             yield _table(el, styles)
 
 
+def main_part(raw: bytes) -> str:
+    """The XML of a file's main part."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        return z.read("word/document.xml").decode("utf-8")
+
+
 def read(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
     """Blocks of all documents under a path; a file that can't be read gives one block of the kind error with the reason in its run."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")

@@ -59,9 +59,10 @@ def rects(spark, rows):
 
 
 def test_grid(spark):
-    two = grid.gridded(rects(spark, [(0, 0, 100, 20), (100, 0, 100, 20)])).collect()
+    made = lambda rows: grid.gridded(rects(spark, rows).withColumn("width", F.lit(200.0)), ["band"])[0]
+    two = made([(0, 0, 100, 20), (100, 0, 100, 20)]).collect()
     assert len(two) == 1 and len(two[0].cols) == 2 and len(two[0].cells) == 2
-    parted = grid.gridded(rects(spark, [(0, 0, 100, 20), (0, 100, 100, 20)])).orderBy("block").collect()
+    parted = made([(0, 0, 100, 20), (0, 100, 100, 20)]).orderBy("block").collect()
     assert [b.kind for b in parted] == ["table", "spacer", "table"]
     assert [(r.inner_ord, r.outer_ord) for r in grid.overlaps(rects(spark, [(0, 0, 200, 100), (20, 20, 40, 20)])).collect()] == [(1, 0)]
 
@@ -86,5 +87,27 @@ def test_wrap_and_pages(spark):
     assert got == [(0, 1, 0, 3), (1, 2, 0, 8), (2, 2, 0, 2), (2, 3, 2, 12), (2, 4, 12, 22), (2, 5, 22, 30)]
 
 
+def test_unique_targets_of_a_hot_target(spark):
+    rows = [(k, "Same" if k % 3 else ("SAME" if k % 2 else f"t{k}"), "x") for k in range(300)]
+    got = {r.doc_id: r.unique_target for r in islands.unique_targets(spark.createDataFrame(rows, "doc_id int, target string, n string"), "target", "doc_id").collect()}
+    seen: dict = {}
+    for k, t, _ in rows:
+        seen[t.lower()] = seen.get(t.lower(), 0) + 1
+        assert got[k] == (t if seen[t.lower()] == 1 else f"{t}-{seen[t.lower()]}")
+
+
+def test_offsets_and_inherited(spark):
+    import statistics
+
+    values = {"a": [0.125, 3.5, 2.0, 2.0], "b": [1.0], "c": [9.0, 1.0, 4.0]}
+    df = spark.createDataFrame([(g, v, "x") for g, vs in values.items() for v in vs], "g string, v double, n string")
+    got = {r.g: (r.n, r.median, r.worst, r.tail) for r in islands.offsets(df, "g", "v", 3.0).collect()}
+    assert got == {g: (len(vs), statistics.median(vs), max(vs), sum(v > 3 for v in vs)) for g, vs in values.items()}
+    chain = [("d", f"s{k}", f"s{k - 1}" if k else None, {"p": f"{k}"} if k % 10 == 0 else {f"q{k}": "x"}) for k in range(40)] + [("d", "lone", "gone", {}), ("d", "c1", "c2", {}), ("d", "c2", "c1", {"z": "1"})]
+    done = {r.style: r.props for r in islands.inherited(spark.createDataFrame(chain, "key string, style string, base string, props map<string,string>")).collect()}
+    assert done["s39"]["p"] == "30" and len(done["s39"]) == 1 + 36 and done["s0"] == {"p": "0"} and done["lone"] == {} and done["c1"]["z"] == "1"
+    assert islands.inherited(spark.createDataFrame([], "key string, style string, base string, props map<string,string>")).count() == 0
+
+
 def test_duckdb_version():
     assert duckdb.__version__
