@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +27,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
     rows = docs.where("text <> ''").select("doc_id", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line", "t"))
     n = F.coalesce(F.lead("t").over(Window.partitionBy("doc_id").orderBy("line")), F.lit(""))
     t = F.col("t")
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
     kind = (
-        F.when(t.rlike(r"^\s*$"), "blank").when(t.rlike(r"^#{1,6}\s+.*$"), "heading").when(t.rlike(r"^\s*(-\s*(-\s*){2,}|\*\s*(\*\s*){2,}|_\s*(_\s*){2,})$"), "rule")
-        .when(t.contains("|") & n.rlike(r"^\s*\|?[\s:-]*-[\s:|-]*\|?\s*$") & n.contains("|"), "table").when(t.rlike(r"^\s*([-*+]|\d+[.)])\s+.*$"), "list").when(t.rlike(r"^\s*>"), "quote").otherwise("text")
+        F.when(t.rlike(r"^\s*$"), "blank").when(t.rlike(r"^#{1,6}\s+.*$"), "heading").when(bare(t).rlike(r"^(?:-{3,}|\*{3,}|_{3,})$"), "rule")
+        .when(t.contains("|") & bare(n).rlike(r"^\|?:*-[:|-]*$") & n.contains("|"), "table").when(t.rlike(r"^\s*(?:[-*+]|\d+[.)])\s"), "list").when(t.rlike(r"^\s*>"), "quote").otherwise("text")
     )
     return rows.withColumn("kind", kind)
 
@@ -70,27 +74,37 @@ def measured(blocks: DataFrame, size: float, width: float) -> DataFrame:
     return blocks.withColumn("n_lines", count("text")).select("doc_id", "block", "n_lines", (F.col("n_lines") * size * LINE).alias("height"))
 
 
-def _pages(rows: pd.DataFrame, room: float) -> pd.DataFrame:
-    rows = rows.sort_values("block")
-    page, y, out = 1, 0.0, []
-    for block, n, height in zip(rows["block"], rows["n_lines"], rows["height"]):
+def _pages(rows: list[tuple], room: float) -> Iterator[tuple]:
+    """Places of one document's (doc_id, block, n_lines, height) in order."""
+    page, y = 1, 0.0
+    for doc_id, block, n, height in rows:
         step, line = height / max(n, 1), 0
         if y and y + height > room and height <= room:
             page, y = page + 1, 0.0
         while line < n:  # a block taller than what is left flows on by lines
             fit = min(n - line, max(int((room - y + 1e-9) / step), 0))
-            if not fit:
-                if not y:
-                    fit = 1
-                else:
-                    page, y = page + 1, 0.0
-                    continue
-            out.append((rows["doc_id"].iloc[0], block, page, line, line + fit, y))
+            if not fit and y:
+                page, y = page + 1, 0.0
+                continue
+            fit = fit or 1
+            yield doc_id, block, page, line, line + fit, y
             y += fit * step
             line += fit
-    return pd.DataFrame(out, columns=["doc_id", "block", "page", "first_line", "end_line", "top"])
 
 
 def paginated(sized: DataFrame, room: float) -> DataFrame:
-    """Where each block (or part of it) stands: page, lines [first, end), top. A document is one group."""
-    return sized.groupBy("doc_id").applyInPandas(lambda g: _pages(g, room), "doc_id bigint, block int, page int, first_line int, end_line int, top double")
+    """Where each block (or part of it) stands: page, lines [first, end), top. Documents are read one after another from sorted partitions."""
+    shape = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("page", pa.int32()), ("first_line", pa.int32()), ("end_line", pa.int32()), ("top", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4))))
+        out: list[tuple] = []
+        for _, own in groupby(every, key=lambda r: r[0]):
+            out += _pages(own, room)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, shape)], schema=shape)
+
+    rows = sized.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("block").cast("int").alias("block"), "n_lines", F.col("height").cast("double").alias("height"))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "block").mapInArrow(run, "doc_id bigint, block int, page int, first_line int, end_line int, top double")

@@ -164,9 +164,15 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return grid.overlaps(rects(spark, d))
 
 
+@query(f"SELECT band, ord, x, y, w, h, bordered FROM {RECTS} WHERE w > 0.5 AND h > 0.5")
+def rect_filter(spark: SparkSession, d: str) -> DataFrame:
+    return grid.visible(rects(spark, d))
+
+
 @query()
 def gridify_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return grid.gridded(rects(spark, d))
+    boxes = grid.visible(rects(spark, d))
+    return grid.gridded(boxes.join(grid.band_width(boxes, 0.0), "band"), ["band"])[0]
 
 
 @query(f"SELECT page, line, x, width, size, style, ord, CAST(sum(s) OVER (PARTITION BY page, line ORDER BY x, ord ROWS UNBOUNDED PRECEDING) AS INT) AS segment FROM (SELECT *, CASE WHEN x - max(x + width) OVER (PARTITION BY page, line ORDER BY x, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 1.2 * size THEN 1 ELSE 0 END AS s FROM {GLYPHS})")
@@ -247,7 +253,7 @@ def code39(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", B.code39(F.col("p_brand")).alias("bars"))
 
 
-@query(f"SELECT o_orderkey, '1010' || array_to_string(list_transform(range(1, (length(k) // 2) + 1), lambda i: array_to_string(list_transform(range(1, 6), lambda j: CASE WHEN substr({_lookup(B.WIDE)}[substr(k, 2 * i - 1, 1)::INT + 1], j, 1) = '1' THEN '11' ELSE '1' END || CASE WHEN substr({_lookup(B.WIDE)}[substr(k, 2 * i, 1)::INT + 1], j, 1) = '1' THEN '00' ELSE '0' END), '')), '') || '1101' AS bars FROM (SELECT o_orderkey, CASE WHEN length(o_orderkey::VARCHAR) % 2 = 1 THEN '0' || o_orderkey::VARCHAR ELSE o_orderkey::VARCHAR END AS k FROM orders)")
+@query(f"SELECT o_orderkey, '1010' || array_to_string(list_transform(range(1, (length(k) // 2) + 1), lambda i: array_to_string(list_transform(range(1, 6), lambda j: CASE WHEN substr({_lookup(B.WIDE)}[substr(k, 2 * i - 1, 1)::INT + 1], j, 1) = '1' THEN '11' ELSE '1' END || CASE WHEN substr({_lookup(B.WIDE)}[substr(k, 2 * i, 1)::INT + 1], j, 1) = '1' THEN '00' ELSE '0' END), '')), '') || '11101' AS bars FROM (SELECT o_orderkey, CASE WHEN length(o_orderkey::VARCHAR) % 2 = 1 THEN '0' || o_orderkey::VARCHAR ELSE o_orderkey::VARCHAR END AS k FROM orders)")
 def itf(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", B.interleaved25(F.col("o_orderkey").cast("string")).alias("bars"))
 
@@ -279,14 +285,7 @@ def caption_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_returnflag, count(*) AS n, median(l_quantity - l_linenumber) AS median, max(l_quantity - l_linenumber) AS worst, count_if(l_quantity - l_linenumber > 3) AS tail FROM lineitem GROUP BY l_returnflag")
 def delta_stats(spark: SparkSession, d: str) -> DataFrame:
     delta = F.col("l_quantity") - F.col("l_linenumber")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.median(delta).alias("median"), F.max(delta).alias("worst"), F.count_if(delta > 3).alias("tail"))
-
-
-@query("WITH RECURSIVE t(key, name, level, path) AS (SELECT r_regionkey, r_name, 0, r_name FROM region UNION ALL SELECT n.n_nationkey + 100, n.n_name, t.level + 1, t.path || '/' || n.n_name FROM nation n JOIN t ON t.key = n.n_regionkey AND t.level = 0) SELECT name, level, path FROM t")
-def style_inherit(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "region").createOrReplaceTempView("folium_region")
-    table(spark, d, "nation").createOrReplaceTempView("folium_nation")
-    return spark.sql("WITH RECURSIVE t(key, name, level, path) AS (SELECT r_regionkey, r_name, 0, r_name FROM folium_region UNION ALL SELECT n.n_nationkey + 100, n.n_name, t.level + 1, concat(t.path, '/', n.n_name) FROM folium_nation n JOIN t ON t.key = n.n_regionkey AND t.level = 0) SELECT name, level, path FROM t")
+    return islands.offsets(table(spark, d, "lineitem").select("l_returnflag", delta.alias("delta")), "l_returnflag", "delta", 3.0)
 
 
 @query()

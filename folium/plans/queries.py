@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folium.operators import drift, inlining
 from folium.plans import layout_queries as layout
 from folium.plans import report_tables as reports
+from folium.plans import template_queries as templates
 from folium.runtime import table
 
 
@@ -65,7 +66,7 @@ def p5_fields(spark: SparkSession, d: str) -> DataFrame:
     return drift.long(p5_unified(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_cells, p4_columns, p4_pages, p4_bands, p4_objects, p4_tables, p4_lines, p4_rows, p4_elements, p5_found, p5_unified, p5_fields)} | layout.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_cells, p4_columns, p4_pages, p4_bands, p4_objects, p4_tables, p4_lines, p4_rows, p4_elements, p5_found, p5_unified, p5_fields)} | layout.QUERIES | templates.QUERIES
 
 _TYPED = "CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END"
 _DRIFT = f"""WITH RECURSIVE r AS (SELECT DISTINCT feed_id, file_no, payload::JSON AS j FROM text_export WHERE feed_id IS NOT NULL AND file_no IS NOT NULL AND json_valid(payload)),
@@ -106,7 +107,7 @@ CASE WHEN k.key = 'Rows' THEN k.no WHEN k.key = 'Cells' THEN k.row_no END, CASE
 FROM (SELECT rec_id, name, table_name, parent_name, row_no, key, unnest(l) AS c, unnest(range(1, len(l) + 1)) AS no FROM (SELECT *, CASE WHEN json_type(x) = 'ARRAY' THEN json_extract(x, '$[*]') ELSE [x] END AS l FROM (SELECT w.*, e.key, json_extract(w.v, '$.' || e.key) AS x FROM walk w, (VALUES ('Pages'), ('Bands'), ('Objects'), ('Rows'), ('Cells')) e(key)) WHERE x IS NOT NULL)) k WHERE json_type(k.c) = 'OBJECT')
 SELECT DISTINCT rec_id, table_name, row_no::INT AS row_no, cell_no::INT AS cell_no, parent_name FROM walk WHERE kind = 'Cells'"""
 
-SQL: dict[str, str] = dict(layout.SQL) | {
+SQL: dict[str, str] = layout.SQL | templates.SQL | {
     "p4_found": _CELLS,
     "p5_found": f"{_DRIFT} SELECT * FROM report",
     "p5_fields": f"{_LINES} SELECT v.feed_id, v.file_no, v.name, c.col AS field, max(v.value) AS value FROM vals v JOIN col c USING (feed_id, file_no, field) WHERE v.name IS NOT NULL AND v.value IS NOT NULL GROUP BY ALL",
