@@ -9,6 +9,7 @@ from collections.abc import Iterator
 HIDDEN = frozenset("fonttbl colortbl stylesheet info pict object header headerl headerr headerf footer footerl footerr footerf footnote themedata datastore generator listtable listoverridetable rsidtbl xmlnstbl latentstyles fldinst".split())
 # Control words that stand for text.
 SIGNS = {"par": "\n", "line": "\n", "sect": "\n", "row": "\n", "tab": "\t", "cell": "\t", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•", "emspace": "\u2003", "enspace": "\u2002"}
+SPOKEN = HIDDEN | SIGNS.keys() | {"u", "uc"}  # control words that text depends on
 ALIGN = {"ql": "Left", "qr": "Right", "qc": "Center", "qj": "Justify"}
 TOKEN = re.compile(r"(?P<uni>(?:\\u-?\d+ ?(?:\\'[0-9a-fA-F]{2}|[^\\{}\r\n]))+)|(?P<hex>(?:\\'[0-9a-fA-F]{2})+)|\\(?P<word>[a-zA-Z]+)(?P<num>-?\d+)? ?|\\(?P<sign>[^a-zA-Z])|(?P<brace>[{}])|(?P<raw>[^\\{}]+)", re.S)
 ONE_UNI = re.compile(r"\\u(-?\d+) ?(?:\\'[0-9a-fA-F]{2}|[^\\{}\r\n])", re.S)
@@ -64,9 +65,9 @@ def _chars(numbers: Iterator[int]) -> str:
 BLANK = {"bold": False, "italic": False, "underline": False, "strike": False, "size": None, "face": None, "color": None}
 
 
-def pieces(rtf: str) -> Iterator[tuple[str, dict, str | None]]:
-    """(text, style, alignment) in order; the alignment is the last one set so far."""
-    codec, fonts, colors = codec_of(rtf), fonts_of(rtf), colors_of(rtf)
+def pieces(rtf: str, styled: bool = True) -> Iterator[tuple[str, dict, str | None]]:
+    """(text, style, alignment) in order; the alignment is the last one set so far. Not styled: the style is always blank, which is faster."""
+    codec, fonts, colors = codec_of(rtf), fonts_of(rtf) if styled else {}, colors_of(rtf) if styled else []
     style, hidden, skip, align = dict(BLANK), False, 1, None
     stack: list[tuple] = []
     drop = 0  # characters of a fallback still to be left out
@@ -82,7 +83,7 @@ def pieces(rtf: str) -> Iterator[tuple[str, dict, str | None]]:
         text = ""
         if kind == "brace":
             if m["brace"] == "{":
-                stack.append((dict(style), hidden, skip))
+                stack.append((dict(style) if styled else style, hidden, skip))
                 opened = True
                 continue
             if stack:
@@ -94,7 +95,7 @@ def pieces(rtf: str) -> Iterator[tuple[str, dict, str | None]]:
                 one = LONE_UNI.match(m[0])
                 text, drop, at = _chars(iter([int(one[1])])), skip, m.start() + one.end()
                 if not hidden:
-                    yield text, style, align
+                    yield text, dict(style) if styled else style, align
                 opened = False
                 continue
         elif kind == "hex":
@@ -112,7 +113,9 @@ def pieces(rtf: str) -> Iterator[tuple[str, dict, str | None]]:
         else:
             word, num = m["word"], m["num"]
             on = num != "0"
-            if word in HIDDEN and opened:
+            if not styled and word not in SPOKEN:
+                pass
+            elif word in HIDDEN and opened:
                 hidden = True
             elif word in SIGNS:
                 text = SIGNS[word]
@@ -142,12 +145,12 @@ def pieces(rtf: str) -> Iterator[tuple[str, dict, str | None]]:
                 align = ALIGN[word]
         opened = False
         if text and not hidden:
-            yield text, dict(style), align
+            yield text, dict(style) if styled else style, align
 
 
 def rtf_text(rtf: str) -> str:
     """The plain text with line feeds."""
-    return "".join(t for t, _, _ in pieces(rtf)).strip()
+    return "".join([t for t, _, _ in pieces(rtf, False)]).strip()
 
 
 def rtf_lines(rtf: str, base_size: float = 9.0) -> tuple[list[list[dict]], str | None]:
