@@ -13,11 +13,12 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import add
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,7 @@ def _runs(page: str, telling: bool = False) -> str:
 
 RUNS = {p: re.compile(f"(?:{_runs(p)})+") for p in UTF8_READ}
 TELLING = re.compile("|".join(_runs(p, True) for p in UTF8_READ))
+ANY_RUN = re.compile("|".join(_runs(p) for p in UTF8_READ))
 
 
 def undo_utf8(word: str, page: str) -> str | None:
@@ -91,7 +93,7 @@ def undo_utf8(word: str, page: str) -> str | None:
 def undone_utf8(word: str, depth: int = 3) -> dict[str, str]:
     """What the word may have been before UTF-8 was read wrongly, once or several times, by chain (the last reading first)."""
     out: dict[str, str] = {}
-    for page in UTF8_READ:
+    for page in UTF8_READ if ANY_RUN.search(word) else ():
         was = undo_utf8(word, page)
         if was is not None and was != word:
             out[f"utf-8>{page}"] = was
@@ -102,8 +104,8 @@ def undone_utf8(word: str, depth: int = 3) -> dict[str, str]:
 
 
 MIXED = re.compile(r"[A-Za-z][^\W\x00-\x7f]|[^\W\x00-\x7f][A-Za-z]")
-_LATIN = [(z, s) for z, s in _SHIFT.items() if z.startswith("cp1252")]
-_CYRILLIC = [(z, s) for z, s in _SHIFT.items() if not z.startswith("cp1252")]
+_LATIN = [(z, s, frozenset(s)) for z, s in _SHIFT.items() if z.startswith("cp1252")]
+_CYRILLIC = [(z, s, frozenset(s)) for z, s in _SHIFT.items() if not z.startswith("cp1252")]
 
 
 @lru_cache(ROOM)
@@ -113,15 +115,27 @@ def undone_single(word: str) -> dict[str, str]:
     far = {ord(c) for c in word if c > "\x7f"}
     letters = {c for c in far if chr(c).isalpha()}
     # Accented letters stand among plain ones, Cyrillic letters among their like.
-    for name, shift in _LATIN if MIXED.search(word) else _CYRILLIC:
+    for name, shift, page in _LATIN if MIXED.search(word) else _CYRILLIC:
         # A word read in a page has letters of that page only; more than its blanks were read wrongly, and no letter was a blank.
-        if letters <= shift.keys() and letters.isdisjoint(_BLANKS[name]):
+        if letters <= page and letters.isdisjoint(_BLANKS[name]):
             was = word.translate(shift)
             if was != word and (letters or any(shift.get(c, chr(c)) != chr(c) and not chr(c).isspace() for c in far)):
                 out[name] = was
     return out
 
 
+@lru_cache(ROOM)
+def undone(word: str) -> dict[str, str]:
+    """What the word may have been, by chain. Every word: how common a wrong reading is must not make it pass as proper."""
+    past = undone_utf8(word)
+    out = dict(past)
+    for z, was in [("", word), *past.items()]:
+        # a sign or two that came out of UTF-8 are believed
+        if not z or sum(c > "\x7f" for c in was) > 2:
+            out |= {f"{z} {y}".strip(): older for y, older in undone_single(was).items()}
+    return out
+
+
 WORDS = re.compile(r"[^ \t\r\n]+")
 
 
@@ -157,6 +171,7 @@ class _Costs(dict):
         return cost
 
 
+@lru_cache(ROOM)
 def looks_utf8(word: str) -> bool:
     """Whether the word holds UTF-8 sequences as some page shows them; few proper words do."""
     return TELLING.search(word) is not None
@@ -169,10 +184,8 @@ def pairs_of(word: str) -> list[str]:
 
 class Params(NamedTuple):
     pairs: dict  # expected bigram counts of proper text
-    chains: dict  # (source, field) -> {chain: expected records}
     overall: dict  # chain -> expected records
-    records: dict  # (source, field) -> records
-    floor: float  # expected records of a chain that has none
+    total: float  # records
     odd: float  # share of proper words that look like UTF-8 read wrongly
 
 
@@ -185,49 +198,73 @@ class Judge:
     """Posterior of the chains of a record."""
 
     def __init__(self, params: Params):
-        self.speech, self.p, self.floor = Speech(params.pairs), params, params.floor
+        self.speech, self.p = Speech(params.pairs), params
         self.words: dict[str, tuple] = {}
+        self.table: Table | None = None
         self.rare = math.log(params.odd)
-        self.total = sum(params.records.values()) + 1.0
+        self.floor, self.total = 1e-5 * params.total + 0.5, params.total + 1.0  # expected records of a chain that has none
 
     def word(self, word: str) -> tuple[dict[str, tuple[float, str]], frozenset]:
         """The chains that would change the word, with the gain in log likelihood, and those that gain by more than lone signs."""
-        have = self.words.get(word)
-        if have is None:
-            if len(self.words) > ROOM:
-                self.words.clear()
-            own = self.proper(word)
-            if word.isupper():  # capitals alone are no sign of damage: as proper as the word in small letters, but for their share
-                own = either(own, CAPITALS + self.proper(word.lower()))
-            past = undone_utf8(word)
-            # Every word: how common a wrong reading is must not make it pass as proper.
-            for z, was in [("", word), *past.items()]:
-                # a sign or two that came out of UTF-8 are believed
-                if not z or sum(c > "\x7f" for c in was) > 2:
-                    past = past | {f"{z} {y}".strip(): older for y, older in undone_single(was).items()}
-            gains = {z: (self.proper(was) - own, was) for z, was in past.items()}
-            far = [c for c in word if c > "\x7f"]
-            letters = len(set(far)) > 2 or sum(c.isalpha() for c in far) > 1 or MIXED.search(word) is not None
-            have = self.words[word] = gains, frozenset(z for z, (gain, _) in gains.items() if gain > 0.0 and (letters or z.startswith("utf-8")))
+        return self.words.get(word) or self.judged(word, self.proper)
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Judges many words at once: their readings are scored together by a table."""
+        new = set(words) - self.words.keys()
+        if not new:
+            return
+        if len(self.words) > ROOM:
+            self.words.clear()
+            new = set(words)
+        if self.table is None:
+            self.table = Table(self.speech)
+        every = list({x for w in new for x in (w, *undone(w).values(), *([w.lower()] if w.isupper() else ()))})
+        scores = {}
+        for at in range(0, len(every), 20_000):
+            some = every[at : at + 20_000]
+            scores.update((x, v + (self.rare if looks_utf8(x) else 0.0)) for x, v in zip(some, self.table.scores(some)))
+        for w in new:
+            self.judged(w, scores.__getitem__)
+
+    def judged(self, word: str, proper) -> tuple[dict[str, tuple[float, str]], frozenset]:
+        if len(self.words) > 2 * ROOM:
+            self.words.clear()
+        own = proper(word)
+        if word.isupper():  # capitals alone are no sign of damage: as proper as the word in small letters, but for their share
+            own = either(own, CAPITALS + proper(word.lower()))
+        gains = {z: (proper(was) - own, was) for z, was in undone(word).items()}
+        far = [c for c in word if c > "\x7f"]
+        letters = len(set(far)) > 2 or sum(c.isalpha() for c in far) > 1 or MIXED.search(word) is not None
+        have = self.words[word] = gains, frozenset(z for z, (gain, _) in gains.items() if gain > 0.0 and (letters or z.startswith("utf-8")))
         return have
 
     def proper(self, word: str) -> float:
         return self.speech.score(word) + (self.rare if looks_utf8(word) else 0.0)
 
-    def prior(self, key: tuple[str, str], chain: str) -> float:
-        """Records of this source and field that came by the chain, leaning on all sources; before any were judged, the same for all sizes of source."""
+    def prior(self, own: dict | None, size: float, chain: str) -> float:
+        """Records of a source and field that came by the chain, leaning on all sources; before any were judged, the same for all sizes of source."""
         overall = (self.p.overall.get(chain, 0.0) + self.floor) / self.total
-        if not self.p.chains:
-            return math.log(overall)
-        own = self.p.chains.get(key, {}).get(chain, 0.0)
-        return math.log((own + 20.0 * overall) / (self.p.records.get(key, 0.0) + 20.0))
+        return math.log(overall if own is None else (own.get(chain, 0.0) + 20.0 * overall) / (size + 20.0))
 
-    def record(self, key: tuple[str, str], words: list[str]) -> dict[str, float]:
-        """Log posterior odds, against no damage, of each chain that makes any word more proper."""
-        return {z: self.prior(key, z) + gain for z, gain in self.evidence(words).items()}
+    def record(self, own: dict | None, size: float, words: list[str]) -> dict[str, float]:
+        """Log posterior odds, against no damage, of each chain that makes any word more proper; chains that repair the record alike are one, under the likeliest.
 
-    def evidence(self, words: list[str]) -> dict[str, float]:
-        """The gain in log likelihood by each chain that makes any word more proper, whatever its prior.
+        own, size: expected records by chain and records of the record's source and field.
+        """
+        found = self.evidence(words)
+        priors = {z: self.prior(own, size, z) for z in found}
+        odds = {z: priors[z] + gain for z, (gain, _) in found.items()}
+        if len(odds) < 2:
+            return odds
+        out: dict[str, float] = {}
+        seen: dict[tuple, str] = {}
+        for z in sorted(odds, key=lambda z: (-priors[z], len(z), z)):
+            first = seen.setdefault(found[z][1], z)
+            out[first] = odds[z] if first == z else either(out[first], odds[z])
+        return out
+
+    def evidence(self, words: list[str]) -> dict[str, tuple[float, tuple]]:
+        """The gain in log likelihood by each chain that makes any word more proper, whatever its prior, and the words as it repairs them.
 
         Damage comes in runs of words: a forward pass over the words that the chain
         could change, in the states whole and damaged, sums over all such runs.
@@ -237,11 +274,14 @@ class Judge:
         chains = set().union(*[tells for _, tells in seen if tells])
         out = {}
         for z in chains:
-            whole, damaged = math.log(0.5), math.log(0.5)
-            for gains, _ in seen:
+            whole, damaged, made = math.log(0.5), math.log(0.5), []
+            for k, (gains, _) in enumerate(seen):
                 if z in gains:
-                    whole, damaged = either(whole + STAY, damaged + SWITCH), either(damaged + STAY, whole + SWITCH) + gains[z][0]
-            out[z] = either(whole, damaged)
+                    gain, was = gains[z]
+                    whole, damaged = either(whole + STAY, damaged + SWITCH), either(damaged + STAY, whole + SWITCH) + gain
+                    if gain > 0.0:
+                        made.append((k, was))
+            out[z] = either(whole, damaged), tuple(made)
         return out
 
     def repaired(self, chain: str, word: str) -> str:
@@ -256,6 +296,73 @@ class Judge:
         return WORDS.sub(lambda m: m[0] if m[0].isascii() else m[0].translate(shift) if shift and self.repaired(chain, m[0]) == m[0] else self.repaired(chain, m[0]), text)
 
 
+class Table:
+    """The character model as a table of the commonest letters: scores of many words at once, and a coarse test of them.
+
+    Words with letters too rare for the table are scored one by one.
+    """
+
+    def __init__(self, speech: Speech, room: int = 1500):
+        self.speech = speech
+        known = sorted(speech.single, key=lambda c: (-speech.single[c], c))
+        table = [START, *[c for c in known if c != START][: room - 1]]
+        number = {c: i for i, c in enumerate(table)}
+        none, rare = len(table), len(table) + 1
+        ids = np.full(65536, none, np.int32)
+        for c in known:
+            if c < "\U00010000":
+                ids[ord(c)] = number.get(c, rare)
+        ids[ord(START)] = 0
+        ids[65535] = rare  # letters beyond the basic plane
+        share = np.array([speech.single.get(c, speech.other) for c in table] + [speech.other, 1.0])
+        first = np.array([max(speech.first.get(c, 0.0), 0.0) for c in table] + [0.0, 0.0])
+        self.cost = np.zeros((none + 2, none + 2)) + speech.back * share
+        for ab, n in speech.pairs.items():
+            if ab[0] in number and ab[1] in number:
+                self.cost[number[ab[0]], number[ab[1]]] += max(n, 0.0)
+        self.cost = np.log(self.cost / (first[:, None] + speech.back)) + 0.5 * np.log(share)
+        self.cost[:, 0] = 0.0  # from one word to the next
+        self.rare, self.ids, self.chains = rare, ids, []
+
+    def laid(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the words one after another, and where each begins."""
+        codes = np.frombuffer("".join(START + w + END for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.minimum(codes, 65535), np.cumsum([0, *(len(w) + 2 for w in words)])[:-1]
+
+    def score(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.append(self.cost[seq[:-1], seq[1:]], 0.0), at)
+
+    def scores(self, words: list[str]) -> list[float]:
+        codes, at = self.laid(words)
+        seq = self.ids[codes]
+        out = self.score(seq, at).tolist()
+        for k in np.flatnonzero(np.logical_or.reduceat(seq == self.rare, at)):
+            out[k] = self.speech.score(words[k])
+        return out
+
+    def may_tell(self, words: list[str]) -> np.ndarray:
+        """Which words a single-byte chain might make more proper.
+
+        It passes every word that Judge.word would: those with UTF-8 sequences, those
+        with letters too rare for the table, and those that score better in some page,
+        whatever else a chain requires.
+        """
+        if not self.chains:
+            for shift in _SHIFT.values():
+                to = np.arange(65536)
+                for a, b in shift.items():
+                    to[a] = ord(b)
+                self.chains.append(self.ids[to])
+        codes, at = self.laid(words)
+        own = self.ids[codes]
+        pick = np.logical_or.reduceat(own == self.rare, at)
+        least = self.score(own, at) + 1e-9
+        for ids in self.chains:
+            seq = ids[codes]
+            pick |= (self.score(seq, at) > least) | np.logical_or.reduceat(seq == self.rare, at)
+        return pick | np.array([ANY_RUN.search(w) is not None for w in words])
+
+
 _JUDGES: dict[str, Judge] = {}
 
 
@@ -267,8 +374,6 @@ def judge_of(made: str, shared) -> Judge:
     return _JUDGES[made]
 
 
-
-
 ODD_WORDS = re.compile(r"(?<![^ \t\r\n])[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*+[^\x00-\x7f][^ \t\r\n]*")
 
 
@@ -308,24 +413,33 @@ def _stats(rows: list, names: tuple = ("kind", "a", "b", "c", "n")) -> pa.Record
 STATS = "kind string, a string, b string, c string, n double"
 
 
-def _summed(stats: DataFrame, limit: int) -> list:
+SUSPECTS = RECORDS + ", size double"
+#: Rows of expected records by source, field and chain up to which they are sent to every task; beyond, they are joined by a shuffle.
+SENT = 200_000
+
+
+def with_own(suspects: DataFrame, sums: DataFrame | None) -> DataFrame:
+    """The suspects with the expected records of their source and field by chain, null before any round."""
+    if sums is None:
+        return suspects.withColumn("own", F.lit(None).cast("map<string,double>"))
     # A chain's sum in a source, not a record's share, may be too small to matter beside what the prior leans on.
-    sums = stats.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).where("kind <> 'chain' or n > 1e-4")
-    return collect_bounded(sums, limit, "the encoding statistics")
+    rows = sums.where("kind = 'chain' and n > 1e-4")
+    own = rows.groupBy(F.col("a").alias("source"), F.col("b").alias("field")).agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("own"))
+    return suspects.join(F.broadcast(own) if rows.count() <= SENT else own, ["source", "field"], "left").select(*suspects.columns, F.coalesce("own", F.create_map().cast("map<string,double>")).alias("own"))
 
 
 def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tuple[DataFrame, Params]:
-    """Suspect records and the parameters after ``rounds`` of expectation-maximisation over them.
+    """Suspect records, each with the size and the expected records by chain of its source and field, and the parameters
+    after ``rounds`` of expectation-maximisation over them.
 
-    What comes to the driver are sums: bigrams of characters (bounded by the
-    alphabets) and expected records by source, field and chain, ``limit`` sums at most.
+    What comes to the driver are sums of bigrams of characters (bounded by the
+    alphabets, ``limit`` at most) and of chains (bounded by the pages); sums by source
+    stay with the executors.
     """
-
     run = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: Counter = Counter()
-        first: Counter = Counter()
         keys: Counter = Counter()
         for batch in batches:
             words: Counter = Counter()
@@ -337,28 +451,37 @@ def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tup
                     pairs[ab] += n
         yield _stats([("pair", ab, "", "", float(n)) for ab, n in pairs.items()] + [("key", s, f, "", float(n)) for (s, f), n in keys.items()])
 
-    sums = _summed(records.mapInArrow(count, STATS), limit)
-    base = {r.a: r.n for r in sums if r.kind == "pair"}
-    sizes = {(r.a, r.b): r.n for r in sums if r.kind == "key"}
-    total = sum(sizes.values())
+    summed = lambda stats: cut(stats.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")))
+    sums = summed(records.mapInArrow(count, STATS))
+    base = {r.a: r.n for r in collect_bounded(sums.where("kind = 'pair'"), limit, "the bigrams")}
+    sizes = sums.where("kind = 'key'").select(F.col("a").alias("source"), F.col("b").alias("field"), F.col("n").alias("size"))
+    total, n_keys = sizes.agg(F.coalesce(F.sum("size"), F.lit(0.0)), F.count("*")).first()
     words = sum(n for ab, n in base.items() if ab[1] == END)
-    guess = Counter(base)
-    for r in sums:
-        if r.kind == "first":
-            guess[r.a] += r.n
-    params = Params(dict(guess), {}, {}, sizes, 1e-5 * total + 0.5, 1e-4)
+    params = Params(base, {}, total, 1e-4)
     start = records.sparkSession.sparkContext.broadcast(params)
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = judge_of(f"{run}-0", start)
+        table = judge.table = Table(judge.speech)
+        tell: dict[str, bool] = {}
         for batch in batches:
-            keep = []
-            for text in batch.column(4).to_pylist():
+            texts = batch.column(4).to_pylist()
+            of = [odd_words(t) for t in texts]
+            if len(tell) > ROOM:
+                tell.clear()
+            new = list({w for ws in of for w in ws} - tell.keys())
+            for at in range(0, len(new), 10_000):
+                some = new[at : at + 10_000]
+                may = [w for w, m in zip(some, table.may_tell(some).tolist()) if m]
+                judge.learn(may)
                 # by likelihood alone: how likely a chain is in a source is for the rounds to tell
-                keep.append(LOST in text or any(tells for _, tells in map(judge.word, odd_words(text))) or TELLING.search(text) is not None)
+                tell |= dict.fromkeys(some, False) | {w: bool(judge.word(w)[1]) or looks_utf8(w) for w in may}
+            keep = [LOST in t or any(map(tell.__getitem__, ws)) for t, ws in zip(texts, of)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    suspects = cut(records.mapInArrow(suspect, RECORDS))
+    picked = records.mapInArrow(suspect, RECORDS)
+    suspects = cut(picked.join(F.broadcast(sizes) if n_keys <= SENT else sizes, ["source", "field"]).select(*[c.split()[0] for c in SUSPECTS.split(", ")]))
+    own = with_own(suspects, None)
     for no in range(1, rounds + 1):
         now = records.sparkSession.sparkContext.broadcast(params)
 
@@ -368,43 +491,42 @@ def estimate(records: DataFrame, rounds: int = 3, limit: int = 3_000_000) -> tup
             chains: Counter = Counter()
             odd = 0.0
             for batch in batches:
-                for s, f, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                    words = odd_words(text)
-                    odds = judge.record((s, f), words)
+                texts = batch.column(4).to_pylist()
+                of = [odd_words(t) for t in texts]
+                judge.learn(w for ws in of for w in ws)
+                for s, f, size, own, words in zip(*(batch.column(i).to_pylist() for i in (2, 3, 5, 6)), of):
+                    odds = judge.record(None if own is None else dict(own), size, words)
                     top = max([0.0, *odds.values()])
                     whole = math.exp(-top) + sum(math.exp(v - top) for v in odds.values())
                     for z, v in odds.items():
                         chains[s, f, z] += math.exp(v - top) / whole
                     shares = {z: math.exp(v - top) / whole for z, v in odds.items() if math.exp(v - top) / whole > 1e-4}
                     for w in words:
-                        # words that look like UTF-8 are not in the base counts, other words are
-                        left = 1.0 if looks_utf8(w) else 0.0
+                        # the base counts hold every word as it stands: what is explained goes over to its original
+                        moved = 0.0
                         for z, share in shares.items():
                             was = judge.repaired(z, w)
                             if was != w:
-                                left -= share
+                                moved += share
                                 for ab in pairs_of(was):
                                     pairs[ab] += share
-                        for ab in pairs_of(w) if left else ():
-                            pairs[ab] += left
-                        odd += left if looks_utf8(w) else 0.0
+                        for ab in pairs_of(w) if moved else ():
+                            pairs[ab] -= moved
+                        odd += 1.0 - moved if looks_utf8(w) else 0.0
             yield _stats([("pair", ab, "", "", n) for ab, n in pairs.items()] + [("chain", s, f, z, n) for (s, f, z), n in chains.items()] + [("odd", "", "", "", odd)])
 
-        sums = _summed(suspects.mapInArrow(expect, STATS), limit)
+        sums = summed(own.mapInArrow(expect, STATS))
         pairs = dict(base)
-        chains: dict = {}
         odd = 0.0
-        overall: Counter = Counter()
-        for r in sums:
+        for r in collect_bounded(sums.where("kind <> 'chain'"), limit, "the bigrams"):
             if r.kind == "pair":
                 pairs[r.a] = pairs.get(r.a, 0.0) + r.n
-            elif r.kind == "odd":
-                odd = r.n
             else:
-                chains.setdefault((r.a, r.b), {})[r.c] = r.n
-                overall[r.c] += r.n
-        params = Params({k: v for k, v in pairs.items() if v > 1e-3}, chains, dict(overall), sizes, 1e-5 * total + 0.5, (odd + 0.5) / (words + 1e4))
-    return suspects, params
+                odd = r.n
+        overall = {r.c: r.n for r in sums.where("kind = 'chain'").groupBy("c").agg(F.sum("n").alias("n")).collect()}
+        params = Params({k: v for k, v in pairs.items() if v > 1e-3}, overall, total, (odd + 0.5) / (words + 1e4))
+        own = with_own(suspects, sums)
+    return own, params
 
 
 REPAIRS = "doc_id string, node_id int, field string, chain string, certainty double, recovered boolean, text string, repaired string"
@@ -428,9 +550,11 @@ def repair(nodes: DataFrame, rounds: int = 3) -> DataFrame:
         judge = judge_of(f"{made}-end", final)
         for batch in batches:
             out = []
-            for doc, node, s, f, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                words = odd_words(text)
-                odds = judge.record((s, f), words)
+            texts = batch.column(4).to_pylist()
+            of = [odd_words(t) for t in texts]
+            judge.learn(w for ws in of for w in ws)
+            for doc, node, f, size, own, text, words in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 5, 6)), texts, of):
+                odds = judge.record(dict(own), size, words)
                 chain, best = max(odds.items(), key=lambda x: x[1], default=(CLEAN, -math.inf))
                 top = max([0.0, *odds.values()])
                 sure = 1.0 - math.exp(-top) / (math.exp(-top) + sum(math.exp(v - top) for v in odds.values()))

@@ -61,6 +61,36 @@ def test_capitals_stay(spark):
     assert L.repair(frame(spark, rows)).count() == 0
 
 
+def test_explained_garble_leaves_no_bigrams(spark):
+    rng = random.Random(6)
+    rows = [("TextObject", text(rng)) for _ in range(300)]
+    for w, r in (("utf-8", "cp1252"), ("utf-8", "cp1251"), ("koi8-r", "cp1251")):
+        page = L._SIGNS[r]
+        rows += [("TextObject", "".join(page[b] for b in text(rng).encode(w))) for _ in range(20)]
+    own, params = L.estimate(L.declared(frame(spark, rows)))
+    proper = {ab for _, t in rows[:300] for w in L.odd_words(t) for ab in L.pairs_of(w)}
+    left = {ab: n for ab, n in params.pairs.items() if ab not in proper and n > 0.5}
+    assert sum(left.values()) < 0.02 * sum(params.pairs.values())
+    assert abs(sum(params.pairs.values()) - sum(len(w) + 1 for _, t in rows[:300] for w in L.odd_words(t))) < 0.2 * sum(params.pairs.values())
+    assert own.where("size is null or own is null").count() == 0
+
+
+def test_quick_passes_all_that_tell(spark):
+    rng = random.Random(8)
+    good = [text(rng) for _ in range(200)] + ["Größe Länge Straße für Übergabe " * 3, "naïve café"]
+    bad = ["".join(L._SIGNS[r][b] for b in t.encode(w, "ignore")) for t in good[:60] for w, r in (*L.SINGLE, ("utf-8", "cp1252"), ("utf-8", "koi8-r"))]
+    words = {w for t in good + bad for w in L.odd_words(t)} | {"☃𝔘ж", "ы" * 300, "Ђ"}
+    judge = L.Judge(L.Params({ab: 3.0 for t in good for w in L.odd_words(t) for ab in L.pairs_of(w)}, {}, 500.0, 1e-4))
+    for room in (1500, 20):
+        some = sorted(words)
+        table = L.Table(judge.speech, room)
+        assert all(m for w, m in zip(some, table.may_tell(some)) if judge.word(w)[1])
+        assert table.scores(some) == pytest.approx([judge.speech.score(w) for w in some])
+    other = L.Judge(judge.p)
+    other.learn(some)
+    assert all(other.words[w][1] == judge.word(w)[1] for w in some)
+
+
 def test_empty(spark):
     assert L.repair(frame(spark, [])).count() == 0 and L.repair(frame(spark, [("TextObject", "ascii")])).count() == 0
 
