@@ -59,8 +59,6 @@ class Scanner:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
         words = [text[a:b].lower() for a, b in spans]
-        if " " in "".join(words):  # cannot happen for letters and digits; keeps word indices honest
-            return []
         found = set()
         for end, (length, where) in hits:
             at = plain.count(" ", 0, end + 1 - length + 1) - 1
@@ -77,7 +75,7 @@ class Scanner:
         return sorted(found)
 
 
-def find_passages(docs: DataFrame, items: DataFrame, min_words: int = 13, max_items: int = 200_000, block_chars: int = 4_000_000) -> DataFrame:
+def find_passages(docs: DataFrame, items: DataFrame, min_words: int = 13, max_items: int = 200_000, block_chars: int = 4_000_000, max_chars: int = 200_000_000) -> DataFrame:
     """Every maximal run of at least ``min_words`` item words in a document.
 
     docs: doc_id, text; items: item_id, item_text. Output: one row per document,
@@ -86,12 +84,14 @@ def find_passages(docs: DataFrame, items: DataFrame, min_words: int = 13, max_it
 
     Null or empty texts and items give no rows; items shorter than ``min_words``
     words cannot be found; repeated rows are reported once; other columns are
-    ignored. The items (a stated test set, at most ``max_items``) go to the workers
-    in blocks of ``block_chars`` characters, one automaton and one scan per block,
-    so an automaton's memory stays bounded.
+    ignored. The items (a stated test set, at most ``max_items`` of ``max_chars``
+    characters in all, else an error) go to the workers in blocks of ``block_chars``
+    characters, one automaton and one scan per block; a worker holds all of them.
     """
     spark = docs.sparkSession
     rows = sorted({(r[0], r[1]) for r in collect_bounded(items.select(F.col("item_id").cast("bigint"), "item_text").dropna(), max_items, "the test items")})
+    if sum(len(text) for _, text in rows) > max_chars:
+        raise ValueError(f"the test items have more than {max_chars} characters; raise the limit knowingly")
     blocks: list[list] = [[]]
     size = 0
     for row in rows:

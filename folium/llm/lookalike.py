@@ -13,7 +13,9 @@ import unicodedata
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u20
 HYPHENS = "\u2010\u2011\ufe63"
 INVISIBLE = r"[\x{00}-\x{08}\x{0E}-\x{1F}\x{7F}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}]"
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
+BATCH_CHARS = 2_000_000
 _CON: dict = {}
 
 
@@ -94,6 +97,18 @@ def connection() -> duckdb.DuckDBPyConnection:
     return _CON["con"]
 
 
+def sliced(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most BATCH_CHARS bytes of text or one row, so that the query's memory has a bound."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    whole = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        done = whole[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(whole, done + BATCH_CHARS, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def consistent(df: DataFrame, captions: DataFrame, changed_only: bool = True, max_captions: int = 20_000) -> DataFrame:
     """Every row of df with its text in one consistent form in the column ``clean``.
 
@@ -105,9 +120,11 @@ def consistent(df: DataFrame, captions: DataFrame, changed_only: bool = True, ma
     listed = sorted({r[0] for r in collect_bounded(captions.select("caption_text").dropna(), max_captions, "the captions")})
     query = f"SELECT * FROM ({sql(listed)}) WHERE clean <> text" if changed_only else sql(listed)
 
+    at = df.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = connection()
-        for batch in batches:
+        for batch in (part for b in batches for part in sliced(b, at)):
             con.register("batch", pa.Table.from_batches([batch]))
             out = con.sql(query).to_arrow_table()
             con.unregister("batch")

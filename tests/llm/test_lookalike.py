@@ -25,3 +25,13 @@ def test_forms(spark):
 def test_twins(name):
     a, b = L.twins(name)
     assert len(a) == len(b) == len(set(a))
+
+
+def test_long_batches_are_sliced(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 900_000] * 5 + [None, ""] + ["y" * 3_000_000])], names=["text"])
+    assert [b.num_rows for b in L.sliced(batch, 0)] == [2, 2, 3, 1] and L.sliced(batch.slice(0, 0), 0).__next__ is not None
+    df = spark.createDataFrame([(k, "Ｎｏ\u00a0\u200b" + "текст " * 3300) for k in range(600)], "k int, text string")
+    captions = spark.createDataFrame([("No",)], "caption_text string")
+    assert L.consistent(df, captions).where("clean like 'No текст%'").count() == 600
