@@ -304,18 +304,18 @@ def md_blocks(spark: SparkSession, d: str) -> DataFrame:
     return text.markdown_blocks(table(spark, d, "documents").where("source = 'md'"))
 
 
-@query("SELECT doc_id, count(DISTINCT node_id) AS n_nodes, count(DISTINCT CASE WHEN tag = 'TextObject' THEN node_id END) AS n_texts FROM template_node GROUP BY doc_id")
+@query("SELECT doc_id, count(*) AS n_nodes, count(CASE WHEN tag = 'TextObject' THEN 1 END) AS n_texts, sum(len(map_keys(attrs)))::BIGINT AS n_attrs, sum(list_sum(list_transform(map_values(attrs), lambda v: length(v))))::BIGINT AS n_chars FROM (SELECT DISTINCT doc_id, node_id, tag, attrs FROM template_node) GROUP BY doc_id")
 def template_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Templates written as XML and read again: how many nodes and text objects each has."""
+    """Templates written as XML and read again: how many nodes, text objects, attributes and characters in them each has."""
     n = table(spark, d, "template_node").select("doc_id", "node_id", "parent_id", "ord", "tag", "attrs", "text")
     made = template_xml.documents(n)
 
     def again(batches):
         for pdf in batches:
-            tags = [[r[5] for r in template_xml.rows_of(i, x.encode())] for i, x in zip(pdf["doc_id"], pdf["xml"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_nodes": [len(t) for t in tags], "n_texts": [t.count("TextObject") for t in tags]})
+            rows = [template_xml.rows_of(i, x.encode()) for i, x in zip(pdf["doc_id"], pdf["xml"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_nodes": [len(r) for r in rows], "n_texts": [sum(n[5] == "TextObject" for n in r) for r in rows], "n_attrs": [sum(len(n[6]) for n in r) for r in rows], "n_chars": [sum(len(v) for n in r for v in n[6].values()) for r in rows]})
 
-    return made.mapInPandas(again, "doc_id string, n_nodes bigint, n_texts bigint")
+    return made.mapInPandas(again, "doc_id string, n_nodes bigint, n_texts bigint, n_attrs bigint, n_chars bigint")
 
 
 @query(f"SELECT doc_id::VARCHAR AS doc_id, count(*) AS n_blocks, sum(length(replace(text, chr(13) || chr(10), chr(10)))) AS n_chars FROM {_STACK} GROUP BY doc_id")
