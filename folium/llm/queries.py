@@ -98,7 +98,11 @@ _GRAMS = "SELECT DISTINCT {1}, array_to_string(w[i:i+12], ' ') AS gram FROM (SEL
 _LEAKED = f"WITH d AS ({_GRAMS.format('documents', 'doc_id', _WORDS.format('text'))}), e AS ({_GRAMS.format('eval_item', 'item_id', _WORDS.format('item_text'))}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (gram)"
 _SHARED = "WITH w AS (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300), h AS (SELECT doc_id, md5(substr(text, i, 300)) AS k FROM w), s AS (SELECT k FROM h GROUP BY k HAVING min(doc_id) <> max(doc_id)) SELECT DISTINCT doc_id FROM h WHERE k IN (SELECT k FROM s)"
 
+_SPANS = "WITH w AS (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300), h AS (SELECT doc_id, i, md5(substr(text, i, 300)) AS k FROM w), s AS (SELECT k FROM h GROUP BY k HAVING min(doc_id) <> max(doc_id)), a AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 300 AS cut FROM h WHERE k IN (SELECT k FROM s)), g AS (SELECT doc_id, i, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM a), p AS (SELECT doc_id, (min(i) - 1)::INT AS span_start, (max(i) + 299)::INT AS span_end FROM g GROUP BY doc_id, span)"
+
 SQL: dict[str, str] = {
+    "p8_spans": f"{_SPANS} SELECT p.doc_id, span_start, span_end, length(text)::INT AS n_chars FROM p JOIN documents USING (doc_id)",
+    "p8_share": f"{_SPANS} SELECT p.doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars, any_value(length(text))::BIGINT AS n_chars, sum(span_end - span_start) / any_value(length(text))::DOUBLE AS share FROM p JOIN documents USING (doc_id) GROUP BY p.doc_id",
     "p7_found": _LEAKED,
     "p7_items": f"SELECT i.item_id, i.suite, i.lang, count(l.doc_id) AS n_docs FROM (SELECT DISTINCT item_id, suite, lang FROM eval_item) i LEFT JOIN ({_LEAKED}) l USING (item_id) GROUP BY ALL",
     "p8_found": _SHARED,
