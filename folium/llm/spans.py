@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.runtime import cut, dropped, release, stored
+from folium.runtime import cut_clear, dropped, stored
 
 GEAR_BITS = 32
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -175,7 +175,7 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
     # The one reading of all texts; what follows reads digests.
     read, path = stored(hashed.mapInArrow(cutting, "doc_id bigint, th bigint, th2 bigint, n_chars int, digests array<bigint>, starts array<int>"))
     # Equal texts (by 128 bits): one class for each; only its least doc_id goes on.
-    members = cut(read.select("doc_id", "th", "th2", "n_chars").distinct())
+    members = cut_clear(read.select("doc_id", "th", "th2", "n_chars").distinct())
     classes = members.groupBy("th", "th2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
 
     def ranging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +189,7 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(zones, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))), batch.column(2)], names=["th", "zones", "hot"])
 
     pieces = read.select("th", F.explode(F.arrays_zip("digests", "starts")).alias("p")).select("th", F.col("p.digests").alias("digest"), F.col("p.starts").alias("a"))
-    both = cut(pieces.groupBy("digest").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("digest", "n"))
-    release(docs.sparkSession)
+    both = cut_clear(pieces.groupBy("digest").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("digest", "n"))
     # Digests above a share of all chunks are at most 100,000 by that share, so their list may go to every task.
     often = max(HOT, both.agg(F.sum("n")).first()[0] // 100_000 if not both.isEmpty() else 0)
     parts = F.ceil(F.col("n") / often).cast("int")
@@ -201,9 +200,8 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
         salted = pieces.join(F.broadcast(hot), "digest", "left").withColumn("part", F.coalesce(F.pmod("th", "parts").cast("int"), F.lit(0)))
         spread = salted.join(both.select("digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), (F.col("n") > HOT).alias("hot")), ["digest", "part"])
     near = spread.groupBy("th").agg(F.collect_set("a").alias("at"), F.max("hot").alias("hot"))
-    zones = cut(near.mapInArrow(ranging, "th bigint, zones array<struct<a: int, z: int>>, hot boolean"))
+    zones = cut_clear(near.mapInArrow(ranging, "th bigint, zones array<struct<a: int, z: int>>, hot boolean"))
     dropped(docs.sparkSession, path)
-    release(docs.sparkSession)
     reps = classes.join(zones, "th").select("rep", "zones", "hot")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +233,7 @@ def shared_spans(docs: DataFrame, min_chars: int = 300, window: int = 64) -> Dat
     else:
         often_seen = spots.where("part > 0")
         evidence = often_seen.groupBy("d0", "d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).select("d0", "d1", F.explode(F.array("lo", "hi")).alias("doc_id"), F.lit(-1).alias("a"))
-        judged = cut(shared(spots.where("part = 0").select("d0", "d1", "doc_id", "a").unionByName(evidence)).select("d0", "d1", "doc_id", "a"))
+        judged = cut_clear(shared(spots.where("part = 0").select("d0", "d1", "doc_id", "a").unionByName(evidence)).select("d0", "d1", "doc_id", "a"))
         back = judged.where("a < 0").select("d0", "d1").distinct().select("d0", "d1", F.explode(F.sequence(F.lit(1), F.lit(SPREAD))).alias("part"))
         starts = judged.where("a >= 0").select("doc_id", "a").unionByName(often_seen.join(back, ["d0", "d1", "part"]).select("doc_id", "a"))
 

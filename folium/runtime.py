@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +30,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_clear(df: DataFrame) -> DataFrame:
+    """Like cut, and the shuffle files that led to it are deleted before it returns."""
+    own = df.select("*")  # a plan of its own: its shuffle files serve nothing else
+    written = cut(own)
+    release(own)
+    return written
+
+
+def release(df: DataFrame) -> None:
+    """Delete the shuffle files of df's plan by their ids, whoever still refers to them; df has run and runs no more.
+
+    Else they stay until the driver collects garbage, at the earliest when Python let go of the plan, up to a second late.
+    """
+    cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    if cleaner.isDefined():
+        for shuffle in shuffles(df._jdf.queryExecution().executedPlan()):
+            cleaner.get().doCleanupShuffle(shuffle, True)
+
+
+def shuffles(plan) -> list[int]:
+    """The ids of the shuffles of a physical plan that has run."""
+    kind, below = plan.getClass().getSimpleName(), plan.children()
+    if kind == "AdaptiveSparkPlanExec":
+        return list(plan.context().shuffleIds())
+    own = [plan.shuffleDependency().shuffleId()] if kind == "ShuffleExchangeExec" else []
+    return own + [k for i in range(below.size()) for k in shuffles(below.apply(i))]
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """Like cut, but as a columnar table, with its path: for data that is read more than once by some of its columns."""
     spark = df.sparkSession
@@ -46,14 +72,6 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner delete the shuffle files of what was cut before: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.4)  # what Python held is let go of in the background; the second collection finds what hung on it
-    spark.sparkContext._jvm.System.gc()
-
-
 def attr(name: str) -> Column:
     """One attribute of a template node."""
     return F.col("attrs")[name]

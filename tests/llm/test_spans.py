@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from folium.llm import spans as L
 
@@ -80,3 +82,20 @@ def test_gear_and_digests():
     d = L.Digests(codes, 0)
     a = d(np.array([0, 4, 1]), np.array([9, 13, 10]))
     assert a[0] == a[1] != a[2]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_shuffle_files_are_deleted_for_sure(spark, monkeypatch, adaptive):
+    """Once a step is written its shuffle files are gone, though its plan is still referred to."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    steps, checkpoint = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, eager=True: (steps.append(df), checkpoint(df, eager))[1])
+    sc, docs = spark.sparkContext._jsc.sc(), texts(3)
+    try:
+        first = sc.newShuffleId()
+        spans = L.shared_spans(frame(spark, docs))
+        left = [k for k in range(first, sc.newShuffleId()) if sc.env().mapOutputTracker().containsShuffle(k)]
+        assert len(steps) == 3 and len(left) <= 2, left  # the sum over digests and a look for rows, a row a task; each step would leave one
+        assert {r.doc_id for r in spans.collect()} == set(brute(docs))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
